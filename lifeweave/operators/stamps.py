@@ -66,6 +66,12 @@ def _offset_seconds(text: Column) -> Column:
     return F.when(signed.rlike(parts), numeric).otherwise(table[F.upper(text)])
 
 
+def _barrier(df: DataFrame) -> DataFrame:
+    """The same rows, one generated row each: a filter on computed columns stays above and isn't rewritten in terms of the
+    raw text, which would repeat each staged expression in every place that uses it."""
+    return df.select(F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("__row")).select("__row.*")
+
+
 def _staged(df: DataFrame, raw: Column, zone: Column, locale: Column, ambiguous: str, nonexistent: str, out: str) -> DataFrame:
     """Adds ``out`` in projections that build on one another: each intermediate value is computed once, and no generated
     expression grows with the cascade times its uses."""
@@ -77,7 +83,7 @@ def _staged(df: DataFrame, raw: Column, zone: Column, locale: Column, ambiguous:
     for pattern, form, locales in reversed(CASCADE):
         hit = v.rlike(pattern) if locales is None else v.rlike(pattern) & F.col("__l").isin(locales)
         fields = F.when(hit, F.regexp_replace(v, pattern, form)).otherwise(fields)
-    df = df.withColumn("__f", F.split(F.when(number.isNull(), fields), r"\|", -1))
+    df = _barrier(df.withColumn("__f", F.split(F.when(number.isNull(), fields), r"\|", -1)))
     size = F.abs(number).cast("double")
     epoch = F.lit(None).cast("decimal(38,6)")
     for low, high, unit in EPOCH_UNITS:
@@ -111,7 +117,7 @@ def _staged(df: DataFrame, raw: Column, zone: Column, locale: Column, ambiguous:
     wall = F.when(o1 == o2, local - o1).when(F.col("__ok1") & F.col("__ok2"), twice).when(F.col("__ok1"), local - o1).when(F.col("__ok2"), local - o2).when(known.isNotNull(), never)
     seconds = F.when(F.col("__text") != "", local - _offset_seconds(F.col("__text"))).otherwise(wall)
     df = df.withColumn(out, F.coalesce(F.col("__epoch"), seconds * 1000 + F.col("__ms")).cast("bigint"))
-    return df.drop(*[c for c in df.columns if c.startswith("__")])
+    return _barrier(df.drop(*[c for c in df.columns if c.startswith("__")]))
 
 
 def normalise_stamps(stamps: DataFrame, value: str = "raw_value", zone: str = "zone_name", locale: str = "locale_code", source_zones: DataFrame | None = None, out: str = "utc_ms", ambiguous: str = "reject", nonexistent: str = "reject") -> DataFrame:
