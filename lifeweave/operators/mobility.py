@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lifeweave.operators.intervals import label_islands
+from lifeweave.session import checkpoint
 
 METRES_PER_DEGREE = 111_195.0
 
@@ -305,7 +306,7 @@ def stops_and_trips(fixes: DataFrame, params: Mobility | None = None) -> DataFra
             if len(out):
                 yield out
 
-    pieces = raw.mapInPandas(cut, _PIECE)
+    pieces = checkpoint(raw.mapInPandas(cut, _PIECE))  # the range partitioning below reads them twice
     sessions = label_islands(pieces, ["person"], "t0", F.col("t1") + p.max_silence, "session")
     ordered = sessions.repartition("person", "session").sortWithinPartitions("person", "session", "t0", "t1")
 
