@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lifeweave.llm import conversations as talk
-from lifeweave.llm import sql, survivors
+from lifeweave.llm import encoding, sql, survivors
 from lifeweave.session import table
 
 _PHOTOS = ["photo_id", "person", "kind", "ts", "source", "title", "ts_origin", "lat", "lon", "favorite", "origin", "uri", "description", "album"]
@@ -38,5 +38,22 @@ def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.col("id").alias("social_id"), "role", "reply_to", F.col("block").cast("bigint").alias("block"), "turn")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_records": p3_records, "p5_found": p5_found, "p5_turns": p5_turns}
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text fields that may be garbled, of three tables."""
+    parts = [("social", "social_id", "text"), ("places", "place_id", "name"), ("photos", "photo_id", "description")]
+    frames = [table(spark, sf_dir, t, [i, "source", c]).select(F.lit(t).alias("tbl"), F.col(i).alias("row_id"), "source", F.col(c).alias("text")) for t, i, c in parts]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose text is garbled."""
+    return encoding.repair(_texts(spark, sf_dir)).select("tbl", "row_id")
+
+
+def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the encoding chain and, where nothing was lost, the original text."""
+    return encoding.repair(_texts(spark, sf_dir)).select("tbl", "row_id", "chain", F.round("posterior", 3).alias("posterior"), "restored")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_records": p3_records, "p5_found": p5_found, "p5_turns": p5_turns, "p7_found": p7_found, "p7_repaired": p7_repaired}
 SQL: dict[str, str] = {"p3_found": sql.P3, "p5_found": sql.P5}
