@@ -90,7 +90,7 @@ _BLOCKS = [
 _WHOLE = {"cjk", "other letters", "picture", "private"}
 #: Symbols that stand for a character of a class that was lost.
 WILD = {"upper": "", "extended": "", "cyrillic": "", "mark": "", "cjk": ""}
-_WILD_CLASS = dict(zip(WILD.values(), ["latin-1 upper", "latin extended lower", "cyrillic lower", "punctuation", "cjk"]))
+_WILD_CLASS = dict(zip(WILD.values(), ["latin-1 upper", "latin extended lower", "cyrillic lower", "punctuation", "cjk", "picture"]))
 
 
 @lru_cache(maxsize=65_536)
@@ -153,12 +153,12 @@ class Characters:
         return sum(step(p, c) for p, c in pairs(text))
 
 
-_LEFT = re.compile("Ã|[ÄÅÈ]|[ÐÑ]|â[ -¿]?|[ãåæçèéä](?=[¡-¿])[¡-¿]{1,2}")
+_LEFT = re.compile("Ã|[ÄÅÈ]|[ÐÑ]|â[ -¿]?|ð[\xa0-\xbf]{0,3}|[ãåæçèéä](?=[¡-¿])[¡-¿]{1,2}")
 
 
 def _wild(m: re.Match) -> str:
     c = m[0][0]
-    return WILD["upper" if c == "Ã" else "extended" if c in "ÄÅÈ" else "cyrillic" if c in "ÐÑ" else "mark" if c == "â" else "cjk"]
+    return WILD["upper" if c == "Ã" else "extended" if c in "ÄÅÈ" else "cyrillic" if c in "ÐÑ" else "mark" if c == "â" else "picture" if c == "ð" else "cjk"]
 
 
 def candidates(text: str) -> list[tuple[str, str]]:
