@@ -89,8 +89,9 @@ _BLOCKS = [
 ]
 _WHOLE = {"cjk", "other letters", "picture", "private"}
 #: Symbols that stand for a character of a class that was lost.
-WILD = {"upper": "", "extended": "", "cyrillic": "", "mark": "", "cjk": ""}
-_WILD_CLASS = dict(zip(WILD.values(), ["latin-1 upper", "latin extended lower", "cyrillic lower", "punctuation", "cjk", "picture"]))
+_LOST_CLASSES = {"upper": "latin-1 upper", "extended": "latin extended lower", "cyrillic": "cyrillic lower", "mark": "punctuation", "cjk": "cjk", "picture": "picture"}
+WILD = {k: chr(0xE001 + i) for i, k in enumerate(_LOST_CLASSES)}
+_WILD_CLASS = {WILD[k]: v for k, v in _LOST_CLASSES.items()}
 
 
 @lru_cache(maxsize=65_536)
@@ -153,7 +154,7 @@ class Characters:
         return sum(step(p, c) for p, c in pairs(text))
 
 
-_LEFT = re.compile("Ã|[ÄÅÈ]|[ÐÑ]|â[ -¿]?|ð[\xa0-\xbf]{0,3}|[ãåæçèéä](?=[¡-¿])[¡-¿]{1,2}")
+_LEFT = re.compile("Ã|[ÄÅÈ]|[ÐÑ]|â[\xa0-\xbf]?|ð[\xa0-\xbf]{0,3}|[ãåæçèéä](?=[¡-¿])[¡-¿]{1,2}")
 
 
 def _wild(m: re.Match) -> str:
