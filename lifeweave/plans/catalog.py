@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lifeweave.plans import general
+from lifeweave.plans import general, selection
 
-_MODULES = [general]
+_MODULES = [general, selection]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
-flagship = general.p1_found
+flagship = selection.representative_events
