@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lifeweave.plans import general, selection
+from lifeweave.plans import general, library, selection
 
-_MODULES = [general, selection]
+_MODULES = [general, selection, library]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
 flagship = selection.representative_events
