@@ -9,6 +9,7 @@ so no task holds more than a block.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -52,7 +53,7 @@ def _align(a: Profile, b: Profile) -> Profile:
         else:
             left = i < n and score[i][j] == score[i + 1][j]
             right = j < m and score[i][j] == score[i][j + 1]
-            if left and (not right or min(a[i]) <= min(b[j])):
+            if left and (not right or min(k for k in a[i] if k != GAP) <= min(k for k in b[j] if k != GAP)):
                 c = dict(a[i])
                 c[GAP] = c.get(GAP, 0.0) + wb
                 i += 1
@@ -183,30 +184,29 @@ def consensus_values(values: DataFrame, key: list[str], field: str = "field", va
     sure = sized.where("n = 1").select(*group, F.col(value).alias("value"))
     open_ = sized.where("n > 1")
     most = open_.agg(F.max("n")).first()[0] or 0
-    spec = "array<map<string,double>>"
     # blocks of values, then blocks of profiles, until one a group is left
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("bigint")
-    level = open_.withColumn("block", F.pmod(F.xxhash64(value), blocks)).groupBy(*group, "block").agg(F.collect_list(F.struct(tokens(F.col(value)).alias("t"), F.col("w").cast("double").alias("w"))).alias("items"))
+    level = open_.withColumn("block", F.pmod(F.xxhash64(value), blocks)).groupBy(*group, "block").agg(F.collect_list(F.to_json(F.struct(tokens(F.col(value)).alias("t"), F.col("w").cast("double").alias("w")))).alias("items"))
 
     def first(items: pd.Series) -> pd.Series:
-        return items.map(lambda vs: profile([([t for t in v["t"] if t], v["w"]) for v in vs]))
+        return items.map(lambda vs: json.dumps(profile([([t for t in v["t"] if t], v["w"]) for v in map(json.loads, vs)])))
 
     def again(items: pd.Series) -> pd.Series:
-        def fold(ps) -> Profile:
+        def fold(ps) -> str:
             out: Profile = []
-            for p in sorted(([dict(c) for c in q] for q in ps), key=lambda q: (-len(q), repr(q))):
+            for p in sorted(map(json.loads, ps), key=lambda q: (-len(q), repr(q))):
                 out = _align(out, p) if out else p
-            return out
+            return json.dumps(out)
 
         return items.map(fold)
 
-    level = level.select(*group, "block", F.pandas_udf(first, spec)("items").alias("p"))
+    level = level.select(*group, "block", F.pandas_udf(first, "string")("items").alias("p"))
     left = -(-most // BLOCK)
     while left > 1:
         level = level.withColumn("block", F.floor(F.col("block") / BLOCK)).groupBy(*group, "block").agg(F.collect_list("p").alias("items"))
-        level = level.select(*group, "block", F.pandas_udf(again, spec)("items").alias("p"))
+        level = level.select(*group, "block", F.pandas_udf(again, "string")("items").alias("p"))
         left = -(-left // BLOCK)
-    winners = level.select(*group, F.pandas_udf(lambda ps: ps.map(lambda p: vote([dict(c) for c in p], gap_share)), "array<string>")("p").alias("consensus"))
+    winners = level.select(*group, F.pandas_udf(lambda ps: ps.map(lambda p: vote(json.loads(p), gap_share)), "array<string>")("p").alias("consensus"))
     gap = F.pandas_udf(lambda a, b: pd.Series([distance([t for t in x if t], list(y)) for x, y in zip(a, b)], dtype="int64"), "bigint")
     near = open_.join(winners, group).withColumn("d", gap(tokens(F.col(value)), "consensus"))
     closest = near.groupBy(*group).agg(F.min_by(value, F.struct(F.col("d"), -F.col("w"), F.col(value))).alias("value"))
