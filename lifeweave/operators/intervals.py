@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lifeweave.session import checkpoint, scan_partitions
+from lifeweave.session import checkpoint, nullable, scan_partitions
 
 
 def _ordered(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -175,12 +175,12 @@ def merge_intervals(df: DataFrame, key: str, start: str, end: str, max_gap: floa
 def label_islands(df: DataFrame, keys: list[str], start: Column | str, end: Column | str, label: str = "island", touching: bool = True) -> DataFrame:
     """Every row with the start of the island that its interval belongs to (double column ``label``).
 
-    Keys must be string columns. Rows whose key, start or end is unknown are left out; end may equal start. With
-    end = start + d this is sessionization by silences of more than d (``touching``) or of d and more (not)."""
+    Keys must be string columns; integer columns beside them must not hold NULLs (they pass through pandas). Rows whose
+    key, start or end is unknown are left out; end may equal start. With end = start + d this is sessionization by silences of more than d (``touching``) or of d and more (not)."""
     columns = df.columns
     rows = _ordered(_prepare(df, keys, start, end), keys)
     carries, _ = _carries(_summaries(rows, keys, touching), touching)
-    schema = rows.select(*columns, F.lit(0.0).alias(label)).schema
+    schema = nullable(rows.select(*columns, F.lit(0.0).alias(label)).schema)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first_batch = next(batches, None)

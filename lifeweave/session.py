@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: No SQL operator here needs more partitions than this for its one-row-per-partition summaries to stay small.
 MAX_SCAN_PARTITIONS = 20_000
@@ -41,3 +42,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def scan_partitions(spark: SparkSession) -> int:
     """Range partitions for an ordered scan: as many as a shuffle has, so that no task holds more than a shuffle task does."""
     return max(1, min(MAX_SCAN_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+
+
+def nullable(schema: T.StructType) -> T.StructType:
+    """The schema with every column nullable, as rows that come back from Python are."""
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])

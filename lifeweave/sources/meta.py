@@ -89,7 +89,7 @@ def facebook_posts(contents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
 def facebook_other_posts(contents: DataFrame) -> DataFrame:
     """Posts on others' pages, from their lists of labels and values."""
     i = _items(contents, FB_OTHER_POSTS)
-    labels = F.map_from_entries(F.transform(F.from_json(_get("o", "$.label_values"), "array<struct<label:string,value:string>>"), lambda x: F.struct(x.label, x.value)))
+    labels = F.map_from_entries(F.transform(F.from_json(_get("o", "$.label_values"), "array<struct<label:string,value:string>>"), lambda x: F.struct(x["label"], x["value"])))
     out = i.select(scalar.parse_time(_get("o", "$.timestamp")).alias("ts"), _text(F.try_element_at(labels, F.lit("Message"))).alias("text"), F.coalesce(_text(F.try_element_at(labels, F.lit("Target"))), F.lit("")).alias("who"))
     return out.where("ts IS NOT NULL AND ts <> 0 AND text <> ''").select("ts", F.lit("facebook").alias("source"), F.lit("post").alias("kind"), "text", "who")
 
@@ -133,7 +133,7 @@ def facebook_places(contents: DataFrame) -> DataFrame:
 def messages(contents: DataFrame) -> DataFrame:
     """Raw messages: ts, sender, text, thread, members; empty and unsent ones are left out."""
     j = contents.where(F.col("name").rlike(MESSAGES)).select(text_of().alias("j"))
-    members = F.transform(F.from_json(_get("j", "$.participants"), "array<struct<name:string>>"), lambda p: _text(p.name))
+    members = F.transform(F.from_json(_get("j", "$.participants"), "array<struct<name:string>>"), lambda p: _text(p["name"]))
     thread = F.coalesce(F.nullif(_text(_get("j", "$.title")), F.lit("")), F.array_join(members, ", "))
     m = j.select(members.alias("members"), thread.alias("thread"), F.explode(F.from_json(_get("j", "$.messages"), "array<string>")).alias("m"))
     out = m.select(scalar.parse_time(_get("m", "$.timestamp_ms")).alias("ts"), _text(F.coalesce(_get("m", "$.sender_name"), F.lit(""))).alias("sender"), _text(_get("m", "$.content")).alias("text"), "thread", "members", F.coalesce(_get("m", "$.is_unsent"), F.lit("false")).alias("unsent"))
