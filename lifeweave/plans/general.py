@@ -39,7 +39,7 @@ def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _P1_ISLANDS = """
-    WITH rows AS (SELECT person, CAST(round(t0 * 1000) AS BIGINT) a, CAST(round(t1 * 1000) AS BIGINT) b FROM places WHERE person IS NOT NULL AND t1 > t0),
+    WITH rows AS (SELECT DISTINCT person, CAST(round(t0 * 1000) AS BIGINT) a, CAST(round(t1 * 1000) AS BIGINT) b FROM places WHERE person IS NOT NULL AND t1 > t0),
     marked AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY person ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END fresh FROM rows),
     numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY person ORDER BY a, b ROWS UNBOUNDED PRECEDING) island FROM marked),
     periods AS (SELECT person, min(a) a, max(b) b FROM numbered GROUP BY person, island),

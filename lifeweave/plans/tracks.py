@@ -50,7 +50,7 @@ SELECT f.fix_id, f.person FROM fold f JOIN numbered x ON x.person = f.person AND
 def daily_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median position of each day."""
     d = track.daily_positions(fixes(spark, sf_dir))
-    return d.select("person", "day", F.round("t", 3).alias("t"), F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), "fixes")
+    return d.select("person", "day", F.round("t", 1).alias("t"), F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), "fixes")
 
 
 def track_km(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +149,7 @@ near AS (SELECT photo_id, arg_min(struct_pack(town := town, km := d), struct_pac
 SQL: dict[str, str] = {
     "teleport_filter": f"WITH {_SQL_CLEAN} SELECT fix_id, person FROM c2",
     "thin_track": f"WITH RECURSIVE {_SQL_CLEAN}, {_SQL_THIN}",
-    "daily_track": f"WITH {SQL_FIX} SELECT person, CAST(floor(t / 86400) AS BIGINT) AS day, round(median(t), 3) AS t, round(median(lat), 5) AS lat, round(median(lon), 5) AS lon, count(*) AS fixes FROM fix GROUP BY ALL",
+    "daily_track": f"WITH {SQL_FIX} SELECT person, CAST(floor(t / 86400) AS BIGINT) AS day, round(median(t), 1) AS t, round(median(lat), 5) AS lat, round(median(lon), 5) AS lon, count(*) AS fixes FROM fix GROUP BY ALL",
     "track_km": f"""WITH {SQL_FIX}, d AS (SELECT person, CAST(floor(t / 86400) AS BIGINT) AS day, median(lat) AS lat, median(lon) AS lon FROM fix GROUP BY ALL),
       l AS (SELECT person, {sql_haversine("lag(lat) OVER w", "lag(lon) OVER w", "lat", "lon")} AS leg FROM d WINDOW w AS (PARTITION BY person ORDER BY day)) SELECT person, CAST(floor(coalesce(sum(leg), 0) / 1000) AS BIGINT) AS km, count(*) AS days FROM l GROUP BY person""",
     "track_union": f"""WITH {SQL_FIX}, {SQL_PHOTO}, {_PLACE}, u AS (SELECT person, t, CAST(src AS INT) AS src FROM fix UNION ALL SELECT person, ts, 3 FROM photo WHERE lat IS NOT NULL AND ts_origin <> 'post' UNION ALL SELECT person, t0, 4 FROM place WHERE source = 'facebook')
