@@ -32,9 +32,12 @@ _BULLET = re.compile(r"^\s*(?:[-*•‣◦▪·–—+]|\[[ xX✓]?\]|[☐☑✓
 _TERMINAL = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s*$")
 _COLUMNS = re.compile(r"\S(?: {2,}|\t)(?=\S)")
 _PAIRS = re.compile(r"(?<![\w=])[\w.:-]+=[^\s=]")
+_SPACE, _NOT_ALNUM, _SPACE_OR_DIGIT = re.compile(r"\s+"), re.compile(r"[\W_]+"), re.compile(r"[\s\d]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _VOWELS = re.compile(r"[aeiouyàâäáãåæèéêëìíîïòóôöõøùúûüœýÿąęăăîâаеёиоуыэюяіїєα-ω]", re.IGNORECASE)
 
+_NO_VOWEL, _MIXED = re.compile(r"[bcdfghjklmnpqrstvwxz]{6}", re.IGNORECASE), re.compile(r"[a-z][A-Z]")
+
 STATISTICS = {
     "n_chars": "bigint", "n_words": "bigint", "n_lines": "bigint", "mean_word_length": "double", "symbol_ratio": "double", "digit_ratio": "double", "end_punctuation_ratio": "double", "common_word_ratio": "double",
     "duplicate_line_ratio": "double", "duplicate_paragraph_ratio": "double", "top_2gram_ratio": "double", "top_3gram_ratio": "double", "top_4gram_ratio": "double", "list_ratio": "double", "table_ratio": "double", "junk_ratio": "double",
@@ -69,15 +72,15 @@ def _dominant(words: list[str], n: int) -> float:
 
 def _pronounceable(word: str) -> bool:
     """Whether a word could be one: some vowel in it, no long run without, no digits or capitals inside."""
-    return len(word) < 4 or bool(_VOWELS.search(word)) and not re.search(r"[bcdfghjklmnpqrstvwxz]{6}", word, re.IGNORECASE) and not re.search(r"[a-zß-ÿ][A-Z]", word[1:]) or not word.isascii()
+    return len(word) < 4 or not word.isascii() or bool(_VOWELS.search(word)) and not _NO_VOWEL.search(word) and not _MIXED.search(word, 1)
 
 
 def line_form(line: str) -> str:
     """'list', 'table', 'junk' or 'text'."""
     s = line.strip()
-    solid = len(re.sub(r"\s+", "", s))
-    letters = sum(map(len, _WORDS.findall(s)))
+    solid = len(_SPACE.sub("", s))
     words = _WORDS.findall(s)
+    letters = sum(map(len, words))
     if _CJK.search(s) and letters > 0.5 * solid:
         return "list" if _BULLET.match(line) else "text"
     if _BULLET.match(line):
@@ -114,9 +117,9 @@ def describe(text: str | None) -> tuple:
     words = _WORDS.findall(text)
     lower = [w.lower() for w in words]
     lines = [x for x in text.splitlines() if x.strip()]
-    solid = sum(not c.isspace() for c in text)
-    symbols = sum(not (c.isalnum() or c.isspace()) for c in text)
-    digits = sum(c.isdigit() for c in text)
+    solid = len(_SPACE.sub("", text))
+    symbols = solid - len(_NOT_ALNUM.sub("", text))
+    digits = solid - len(_SPACE_OR_DIGIT.sub("", text))
     forms = Counter()
     for x in lines:
         forms[line_form(x)] += len(x.strip())
