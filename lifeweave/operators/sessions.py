@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lifeweave.functions.geo import flat_km
+from lifeweave.operators.adjacent import running_sum, with_neighbours
 
 PAUSE_S, JUMP_KM = 4 * 3600.0, 30.0
 
@@ -14,14 +15,13 @@ def sessionize(items: DataFrame, key: str, time: str, order: str, pause: float =
     """``items`` with event (bigint from 1, within the key). A new event begins after more than ``pause`` seconds, or more
     than ``jump_km`` from the last item with a position, which may lie in an earlier event. Needs columns lat and lon
     (NULL if unknown); ties in time go by ``order``."""
-    w = Window.partitionBy(key).orderBy(time, order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    last_lat, last_lon = (F.last(x, ignorenulls=True).over(before) for x in ("lat", "lon"))
-    fresh = F.col(time) - F.lag(time).over(w) > pause
-    far = F.col("lat").isNotNull() & (flat_km(F.col("lat"), F.col("lon"), last_lat, last_lon) > jump_km)
+    series = with_neighbours(items, key, time, order, [time], known=["lat", "lon"])
+    fresh = F.col(time) - F.col("prev")[time] > pause
+    far = F.col("lat").isNotNull() & (flat_km(F.col("lat"), F.col("lon"), F.col("seen.lat"), F.col("seen.lon")) > jump_km)
     starts = F.when(F.coalesce(fresh, F.lit(False)) | F.coalesce(far, F.lit(False)), 1).otherwise(0)
-    flagged = items.withColumn("__starts", starts)
-    return flagged.withColumn("event", (F.sum("__starts").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1).cast("bigint")).drop("__starts")
+    flagged = series.withColumn("__starts", starts).drop("prev", "next", "seen")
+    numbered = running_sum(flagged, key, time, order, F.col("__starts"), "event")
+    return numbered.withColumn("event", (F.col("event") + 1).cast("bigint")).drop("__starts")
 
 
 def event_table(items: DataFrame, key: str, time: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lifeweave.functions.geo import haversine_m, valid_latlon
+from lifeweave.operators.adjacent import with_neighbours
 from lifeweave.operators.intervals import label_islands
 
 # Origins of a fix. Fixes of photos, check-ins and posts are always kept.
@@ -27,14 +28,14 @@ def admitted(fixes: DataFrame) -> DataFrame:
 def drop_teleports(fixes: DataFrame, order: str = "fix_id", passes: int = 2) -> DataFrame:
     """Without interior fixes that can only be reached and left at more than MAX_KMH, and lie more than MIN_JUMP_M from
     the one before; twice, as a removal makes new neighbours. Tracks of fewer than three fixes stay."""
-    w = Window.partitionBy("person").orderBy("t", order)
+    columns = fixes.columns
     kmh = lambda d, dt: d / F.greatest(dt, F.lit(1.0)) * 3.6
-    prev = [F.lag(x).over(w) for x in ("t", "lat", "lon")]
-    nxt = [F.lead(x).over(w) for x in ("t", "lat", "lon")]
     for _ in range(passes):
-        fixes = fixes.withColumns({"__in": haversine_m(prev[1], prev[2], "lat", "lon"), "__out": haversine_m("lat", "lon", nxt[1], nxt[2]), "__dt_in": F.col("t") - prev[0], "__dt_out": nxt[0] - F.col("t")})
-        bad = (kmh(F.col("__in"), F.col("__dt_in")) > MAX_KMH) & (kmh(F.col("__out"), F.col("__dt_out")) > MAX_KMH) & (F.col("__in") > MIN_JUMP_M)
-        fixes = fixes.where(~F.coalesce(bad, F.lit(False))).drop("__in", "__out", "__dt_in", "__dt_out")
+        near = with_neighbours(fixes, "person", "t", order, ["t", "lat", "lon"])
+        reach = haversine_m("prev.lat", "prev.lon", "lat", "lon")
+        leave = haversine_m("lat", "lon", "next.lat", "next.lon")
+        bad = (kmh(reach, F.col("t") - F.col("prev.t")) > MAX_KMH) & (kmh(leave, F.col("next.t") - F.col("t")) > MAX_KMH) & (reach > MIN_JUMP_M)
+        fixes = near.where(~F.coalesce(bad, F.lit(False))).select(columns)
     return fixes
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lifeweave.functions import geo, scalar
-from lifeweave.operators import asof, frames, library, pair, places, sessions, track
+from lifeweave.operators import adjacent, asof, frames, library, pair, places, sessions, track
 
 
 def test_scalars(spark):
@@ -155,3 +155,20 @@ def test_motion(spark):
     assert (x == 0.5).all()
     k = frames.kernel(2.0)
     assert len(k) == 13 and sum(k) == pytest.approx(1)
+
+
+def test_neighbours_across_buckets(spark):
+    r = random.Random(9)
+    rows = [(r.choice("aaab"), float(t), i, r.choice([None, 1.0 * i])) for i, t in enumerate(r.sample(range(1000), 150))]
+    df = spark.createDataFrame(rows, "k string, t double, id long, v double").withColumn("w", F.col("v"))
+    got = {x["id"]: x for x in adjacent.with_neighbours(df, "k", "t", "id", ["id"], known=["v", "w"], bucket=40.0).collect()}
+    sums = {x["id"]: x["n"] for x in adjacent.running_sum(df, "k", "t", "id", F.lit(1), "n", bucket=40.0).collect()}
+    for k in "ab":
+        mine = sorted((t, i, v) for q, t, i, v in rows if q == k)
+        for n, (_, i, _) in enumerate(mine):
+            x = got[i]
+            assert (x["prev"] and x["prev"]["id"]) == (mine[n - 1][1] if n else None)
+            assert (x["next"] and x["next"]["id"]) == (mine[n + 1][1] if n + 1 < len(mine) else None)
+            known = [v for _, _, v in mine[:n] if v is not None]
+            assert (x["seen"] and x["seen"]["v"]) == (known[-1] if known else None) and sums[i] == n + 1
+    assert adjacent.with_neighbours(df.limit(0), "k", "t", "id", ["id"]).collect() == []
