@@ -44,7 +44,7 @@ def towns(named: DataFrame, least: int = 5) -> DataFrame:
 
 
 def nearest_towns(items: DataFrame, towns_: DataFrame, km: float = TOWN_KM) -> DataFrame:
-    """photo_id, town, km: the nearest town within ``km`` (ties by name), through a grid whose cells are as high as that and
+    """photo_id, town, tlat, km: the nearest town within ``km`` (ties by name), through a grid whose cells are as high as that and
     grow wider towards the poles; each item's cell meets the towns of its own and the neighbouring cells."""
     height = km / 111.0
     row = lambda lat: F.floor(lat / height).cast("bigint")
@@ -59,4 +59,23 @@ def nearest_towns(items: DataFrame, towns_: DataFrame, km: float = TOWN_KM) -> D
     around = F.array_union(cells, F.transform(F.array(F.lit(-360.0), F.lit(360.0)), lambda d: F.floor((F.col("lon") + d) / F.col("w")).cast("bigint")))
     q = q.withColumn("col", F.explode(F.array_distinct(around)))
     near = q.join(t, ["row", "col"]).withColumn("km", F.round(haversine_m("lat", "lon", "tlat", "tlon") / 1000, 3)).where(F.col("km") <= km)
-    return near.groupBy("photo_id").agg(F.min(F.struct("km", "town", "tlat")).alias("m")).select("photo_id", "m.town", "m.km")
+    return near.groupBy("photo_id").agg(F.min(F.struct("km", "town", "tlat")).alias("m")).select("photo_id", "m.town", "m.tlat", "m.km")
+
+
+def countries_visited(items: DataFrame, key: str, towns_: DataFrame, least: int = 1, km: float = TOWN_KM) -> DataFrame:
+    """key, cc, n of countries with at least ``least`` positions (photo_id, key, lat, lon), by the nearest town's cc."""
+    near = nearest_towns(items.select("photo_id", "lat", "lon"), towns_, km).join(towns_.select("town", "tlat", "cc"), ["town", "tlat"])
+    return items.select("photo_id", key).join(near, "photo_id").groupBy(key, "cc").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def captions(items: DataFrame, key: str, named: DataFrame, towns_: DataFrame, countries: DataFrame) -> DataFrame:
+    """photo_id, place: the named place and the town, with its region at home (the country of most items) or its country
+    elsewhere. towns: town, tlat, tlon, cc, region; countries: cc, country (one row each; small dimensions)."""
+    near = nearest_towns(items.where("lat IS NOT NULL").select("photo_id", "lat", "lon"), towns_).join(towns_.select("town", "tlat", "cc", "region"), ["town", "tlat"])
+    at = items.select("photo_id", key).join(near, "photo_id", "left").join(named.select("photo_id", "name"), "photo_id", "left").join(countries, "cc", "left")
+    per = at.where("cc IS NOT NULL").groupBy(key, "cc").agg(F.count("*").alias("n"))
+    home = per.groupBy(key).agg(F.max_by("cc", F.struct("n", "cc")).alias("home"))
+    at = at.join(home, key, "left")
+    where = F.when((F.col("cc") == F.col("home")) & (F.col("region") != ""), F.concat_ws(", ", "town", "region")).otherwise(F.concat_ws(", ", "town", F.coalesce("country", "cc")))
+    place = F.when(F.col("town").isNull(), F.coalesce("name", F.lit(""))).when((F.col("name") != "") & (F.col("name") != F.col("town")), F.concat_ws(" · ", "name", where)).otherwise(where)
+    return at.select("photo_id", place.alias("place"))

@@ -48,6 +48,22 @@ def frame_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("person", "frame", F.round("tau", 3).alias("tau"), F.round("mx", 9).alias("mx"), F.round("my", 9).alias("my"))
 
 
+def film_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The camera that follows each film's dot, on every whole second."""
+    cam = ops.follow_camera(ops.motion(frame_anchors(spark, sf_dir), _world(spark, sf_dir), "person"), frame_segments(spark, sf_dir), "person", FPS, HOLD + TRANS)
+    return cam.where(F.col("frame") % FPS == 0).select("person", "frame", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), F.round("zoom", 3).alias("zoom"), F.round("visible", 3).alias("visible"))
+
+
+def film_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each film: photos, clips, years and length in seconds."""
+    s = _slots(spark, sf_dir)
+    year = F.year(F.timestamp_seconds(F.floor("ts"))).cast("bigint")
+    return s.groupBy("person").agg(
+        F.count_if(F.col("media") != "video").alias("photos"), F.count_if(F.col("media") == "video").alias("clips"), F.min(year).alias("first_year"), F.max(year).alias("last_year"),
+        F.round(INTRO + OUTRO + F.sum("hold") + (F.count("*") - 1) * TRANS, 3).alias("seconds"),
+    )
+
+
 def frame_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every hundredth second frame of a film shows: the segment that contains it."""
     segs = frame_segments(spark, sf_dir)
@@ -153,7 +169,7 @@ def scale_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (frame_segments, frame_anchors, frame_motion, frame_lookup, chunk_bounds, mosaic_layout, contact_sheet, sliding_bbox, smooth_track, visibility, trail, frame_tiles, best_window, prune_cache, scale_bar)
+    for f in (frame_segments, frame_anchors, frame_motion, film_camera, film_summary, frame_lookup, chunk_bounds, mosaic_layout, contact_sheet, sliding_bbox, smooth_track, visibility, trail, frame_tiles, best_window, prune_cache, scale_bar)
 }
 _K = ops.kernel(2.0)
 
@@ -170,6 +186,7 @@ SQL: dict[str, str] = {
     "frame_segments": f"WITH {_SQL_SLOTS} SELECT * FROM seg",
     "frame_anchors": f"""WITH {_SQL_SLOTS}, h AS (SELECT s.person, f0, f1, ts, hold, media FROM seg s JOIN slots USING (person, slot) WHERE kind = 'hold')
       SELECT person, f0 AS frame, ts AS t, true AS video FROM h WHERE media = 'video' UNION ALL SELECT person, greatest(f0, f1 - 1), ts + hold, false FROM h WHERE media = 'video' UNION ALL SELECT person, (f0 + f1) // 2, ts, false FROM h WHERE media <> 'video'""",
+    "film_summary": f"WITH {_SQL_SLOTS} SELECT person, count(*) FILTER (media <> 'video') AS photos, count(*) FILTER (media = 'video') AS clips, CAST(min(year(make_timestamp(CAST(floor(ts) * 1000000 AS BIGINT)))) AS BIGINT) AS first_year, CAST(max(year(make_timestamp(CAST(floor(ts) * 1000000 AS BIGINT)))) AS BIGINT) AS last_year, round(CAST({INTRO + OUTRO} + sum(CAST(hold AS DOUBLE)) + (count(*) - 1) * {TRANS} AS DOUBLE), 3) AS seconds FROM slots GROUP BY person",
     "frame_lookup": f"WITH {_SQL_SLOTS} SELECT person, CAST(k * 100 AS BIGINT) AS frame, kind, slot FROM seg, generate_series(CAST(ceil(f0 / 100) AS BIGINT), CAST(ceil(f1 / 100) AS BIGINT) - 1) g(k)",
     "chunk_bounds": f"""WITH {_SQL_SLOTS}, film AS (SELECT person, max(f1) AS n FROM seg GROUP BY person), goal AS (SELECT person, n, w, floor(n * w / 8) AS goal FROM film, generate_series(1, 7) g(w)),
       near AS (SELECT g.person, g.n, w, arg_min(f0, struct_pack(d := abs(f0 - goal), f := f0)) AS f0 FROM goal g JOIN seg s ON s.person = g.person AND s.kind = 'hold' GROUP BY ALL), cuts AS (SELECT DISTINCT person, n, f0 FROM near UNION SELECT person, n, 0 FROM film)

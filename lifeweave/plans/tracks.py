@@ -122,7 +122,7 @@ def nearest_city(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest town of every positioned photo, at most fifty kilometres away. The towns are an input: here the
     most named grid cells of the places table."""
     items = photos(spark, sf_dir).where("lat IS NOT NULL").select("photo_id", "lat", "lon")
-    return ops.nearest_towns(items, ops.towns(ops.places(table(spark, sf_dir, "places", ops.COLUMNS))))
+    return ops.nearest_towns(items, ops.towns(ops.places(table(spark, sf_dir, "places", ops.COLUMNS)))).select("photo_id", "town", "km")
 
 
 def place_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,9 +134,29 @@ def place_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("photo_id", scalar.caption_date("ts", "lon").alias("date"), F.coalesce("place", "town", F.lit("")).alias("place"), F.substring("description", 1, 160).alias("caption"))
 
 
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Towns with a country code and region: cells of thirty and ten degrees, as no gazetteer is at hand."""
+    t = ops.towns(ops.places(table(spark, sf_dir, "places", ops.COLUMNS)))
+    cell = lambda n: F.concat_ws(":", F.floor(F.col("tlat") / n).cast("string"), F.floor(F.col("tlon") / n).cast("string"))
+    return t.withColumns({"cc": cell(30), "region": cell(10)})
+
+
+def countries_visited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Countries of each person's positioned photos."""
+    items = photos(spark, sf_dir).where("lat IS NOT NULL").select("photo_id", "person", "lat", "lon")
+    return ops.countries_visited(items, "person", _regions(spark, sf_dir))
+
+
+def full_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place captions with region at home and country elsewhere."""
+    towns = _regions(spark, sf_dir)
+    countries = towns.select("cc", F.concat(F.lit("Country "), F.col("cc")).alias("country")).distinct()
+    return ops.captions(photos(spark, sf_dir).select("photo_id", "person", "lat", "lon"), "person", photo_in_place(spark, sf_dir), towns, countries)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (teleport_filter, thin_track, daily_track, track_km, track_union, nearest_fix_asof, position_at_loose, position_at_strict, photo_in_place, nearest_city, place_captions)
+    for f in (teleport_filter, thin_track, daily_track, track_km, track_union, nearest_fix_asof, position_at_loose, position_at_strict, photo_in_place, nearest_city, place_captions, countries_visited, full_captions)
 }
 _PLACE = "place AS (SELECT place_id, person, t0, t1, lat, lon, name, source FROM places WHERE person IS NOT NULL AND t0 IS NOT NULL AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (abs(lat) < 1e-6 AND abs(lon) < 1e-6))"
 _SQL_IN_PLACE = f"""{SQL_PHOTO}, {_PLACE},
@@ -144,7 +164,7 @@ hit AS (SELECT photo_id, max(struct_pack(t0 := p.t0, place_id := p.place_id, nam
   FROM photo q JOIN place p ON p.person = q.person AND p.t0 - 1800 <= q.ts AND q.ts <= coalesce(p.t1, p.t0) + 1800 AND p.t0 >= q.ts - 86400 AND (q.lat IS NULL OR abs(p.lat - q.lat) + abs(p.lon - q.lon) < 0.02)
   WHERE coalesce(p.name, '') <> '' GROUP BY photo_id)"""
 _SQL_TOWN = f"""town AS (SELECT CAST(floor(lat * 4) AS BIGINT) AS cy, CAST(floor(lon * 4) AS BIGINT) AS cx, min(name) AS town, round(avg(lat), 6) AS tlat, round(avg(lon), 6) AS tlon FROM place WHERE coalesce(name, '') <> '' GROUP BY ALL HAVING count(*) >= 5),
-near AS (SELECT photo_id, arg_min(struct_pack(town := town, km := d), struct_pack(d := d, town := town, tlat := tlat)) AS m FROM (
+near AS (SELECT photo_id, arg_min(struct_pack(town := town, km := d, tlat := tlat), struct_pack(d := d, town := town, tlat := tlat)) AS m FROM (
     SELECT photo_id, town, tlat, round({sql_haversine("p.lat", "p.lon", "tlat", "tlon")} / 1000, 3) AS d FROM photo p JOIN town ON tlat BETWEEN p.lat - 1.0 AND p.lat + 1.0 WHERE p.lat IS NOT NULL) WHERE d <= 50 GROUP BY photo_id)"""
 SQL: dict[str, str] = {
     "teleport_filter": f"WITH {_SQL_CLEAN} SELECT fix_id, person FROM c2",
@@ -161,5 +181,6 @@ SQL: dict[str, str] = {
     "position_at_loose": f"WITH {_SQL_WORLD}, {sql_positions(False)} SELECT photo_id, round(degrees(atan(sinh(pi() * (1 - 2 * y)))), 5) AS lat, round(x * 360.0 - 180.0, 5) AS lon FROM pos WHERE x IS NOT NULL",
     "position_at_strict": f"WITH {_SQL_WORLD}, {sql_positions(True)} SELECT photo_id, round(degrees(atan(sinh(pi() * (1 - 2 * y)))), 5) AS lat, round(x * 360.0 - 180.0, 5) AS lon FROM pos WHERE x IS NOT NULL",
     "photo_in_place": f"WITH {_SQL_IN_PLACE} SELECT photo_id, m.place_id AS place_id, m.name AS name FROM hit",
+    "countries_visited": f"WITH {SQL_PHOTO}, {_PLACE}, {_SQL_TOWN} SELECT person, CAST(CAST(floor(t.tlat / 30) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(floor(t.tlon / 30) AS BIGINT) AS VARCHAR) AS cc, count(*) AS n FROM near JOIN photo USING (photo_id) JOIN town t ON t.town = m.town AND t.tlat = m.tlat GROUP BY ALL",
     "nearest_city": f"WITH {SQL_PHOTO}, {_PLACE}, {_SQL_TOWN} SELECT photo_id, m.town AS town, m.km AS km FROM near",
 }

@@ -172,3 +172,41 @@ def test_neighbours_across_buckets(spark):
             known = [v for _, _, v in mine[:n] if v is not None]
             assert (x["seen"] and x["seen"]["v"]) == (known[-1] if known else None) and sums[i] == n + 1
     assert adjacent.with_neighbours(df.limit(0), "k", "t", "id", ["id"]).collect() == []
+
+
+def test_media_functions(spark):
+    import numpy as np
+
+    from lifeweave.functions import media
+
+    one = spark.range(1)
+    text = "Duration: 00:01:02.50, start\n  Stream #0:0: Video: hevc, yuv420p10le(bt2020nc/bt2020/arib-std-b67), 1920x1080, 30 fps\n  displaymatrix: rotation of -90.00 degrees"
+    assert tuple(one.select(media.probe(F.lit(text)).alias("p")).first()["p"]) == (62.5, 1080, 1920, True)
+    assert one.select(media.probe(F.lit("nothing")).alias("p")).first()["p"] is None
+    plain = media.picture_score(F.lit(400.0), F.lit(118.0), F.lit(60.0), F.lit(50.0), F.lit(0.1), F.lit(4), F.lit(3))
+    paper = media.picture_score(F.lit(400.0), F.lit(118.0), F.lit(60.0), F.lit(20.0), F.lit(0.9), F.lit(9), F.lit(3))
+    a, b = one.select(plain, paper).first()
+    assert a == pytest.approx(1.2 * np.log1p(400) / 6 + 0.8 + 0.5) and b == pytest.approx(a - 0.3 - 3 - 3)
+    assert one.select(media.clip_usable(F.lit(2 << 30), F.lit(False), F.lit(5.0)), media.clip_usable(F.lit(2 << 30), F.lit(True), F.lit(5.0)), media.clip_usable(F.lit(1), F.lit(True), F.lit(1.9)), media.even(F.lit(5.1))).first()[:] == (False, True, False, 6)
+    assert media.max_videos(0.15, 120) == 18
+    r = media.PairScreen(1920, 1080).rectangles()
+    assert r["photos_left"][2] == r["map_right"][2] and r["map_together"][1] + r["map_together"][3] <= 1080
+    line = np.array([[0.0, 0.0], [10.0, 0.0], [500.0, 0.0]])
+    assert (media.offset_line(line, 3.0)[:, 1] == 3).all() and len(media.with_arcs(line, 100.0)) == 25 and media.with_arcs(line, 100.0)[:, 1].min() < -10
+
+
+def test_camera():
+    import numpy as np
+
+    n = 300
+    dot = np.full((n, 2), 0.5)
+    dot[100:200, 0] = np.linspace(0.5, 0.7, 100)
+    dot[200:, 0] = 0.7
+    shown = np.ones(n, bool)
+    shown[:10] = False
+    cam, vis = frames.follow(shown, [dot], 10, 3.2, 960, 540)
+    assert not np.isnan(cam).any() and vis[:10].max() == 0 and vis[50] == 1
+    assert cam[150, 2] < cam[20, 2] - 1 and np.abs(np.diff(cam[:, 2])).max() < 1.0
+    half = 960 / (256 * 2 ** cam[:, 2]) / 2
+    assert (np.abs(dot[10:, 0] - cam[10:, 0]) <= half[10:]).all()
+    assert np.isnan(frames.follow(np.zeros(5, bool), [np.full((5, 2), np.nan)], 10, 3.2, 9, 9)[0]).all()
