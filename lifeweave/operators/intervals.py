@@ -19,10 +19,15 @@ from lifeweave.session import checkpoint, nullable, scan_partitions
 
 
 def _ordered(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with columns k (array of key strings), s, e and whatever else, range-partitioned and sorted; pid is fixed by the checkpoint."""
+    """Rows with their keys, __s, __e and whatever else, range-partitioned and sorted; the checkpoint fixes __pid.
+
+    A hash of the other columns ends the range key: rows of one key, start and end are spread over partitions too. That
+    leaves their order, and so the scan, as it is."""
     n = scan_partitions(df.sparkSession)
     order = [*keys, "__s", "__e"]
-    return checkpoint(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__pid", F.spark_partition_id()))
+    others = [F.col(f"`{c}`") for c in df.columns if c not in order]
+    spread = [F.xxhash64(*others)] if others else []
+    return checkpoint(df.repartitionByRange(n, *order, *spread).sortWithinPartitions(*order).withColumn("__pid", F.spark_partition_id()))
 
 
 def _runs(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
@@ -129,7 +134,8 @@ def merge_intervals(df: DataFrame, key: str, start: str, end: str, max_gap: floa
     ``max_gap`` drops longer gaps (same unit as start and end). An empty table gives no rows; repeated rows change
     nothing; extra columns are ignored. Result: key (string), kind ('period', 'gap'), start, end (double)."""
     rows = _prepare(df.select(F.col(key).cast("string").alias("k"), F.col(start).alias("a"), F.col(end).alias("b")), ["k"], "a", "b")
-    rows = _ordered(rows.where(F.col("__e") > F.col("__s")).select("k", "__s", "__e"), ["k"])
+    # copies of one interval count once, and meet before the shuffle
+    rows = _ordered(rows.where(F.col("__e") > F.col("__s")).select("k", "__s", "__e").distinct(), ["k"])
     carries, last_pid = _carries(_summaries(rows, ["k"], touching), touching)
     limit = float("inf") if max_gap is None else float(max_gap)
 

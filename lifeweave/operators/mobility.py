@@ -193,6 +193,22 @@ def segment(pdf: pd.DataFrame, p: Mobility) -> pd.DataFrame:
     })
 
 
+def _without_repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted rows without those equal to the one before, so that copies of a fix, however many, are never held."""
+    last = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        new = np.zeros(len(pdf), dtype=bool)
+        for c in pdf.columns:
+            v = pdf[c].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        row = tuple(pdf.iloc[-1])
+        new[0] = last is None or tuple(pdf.iloc[0]) != last
+        last = row
+        yield pdf[new]
+
+
 def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], at_least: int = 50_000) -> Iterator[pd.DataFrame]:
     """Batches regrouped so that no group of ``keys`` (the rows are sorted by them) is split."""
     held: list[pd.DataFrame] = []
@@ -301,7 +317,7 @@ def stops_and_trips(fixes: DataFrame, params: Mobility | None = None) -> DataFra
     )
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _whole_groups(batches, ["person", "bucket"]):
+        for pdf in _whole_groups(_without_repeats(batches), ["person", "bucket"]):
             out = segment(pdf, p)
             if len(out):
                 yield out

@@ -62,3 +62,12 @@ def test_labels(spark, touching):
                 now = t
             end = max(end, t + 2)
             assert x == now
+
+
+def test_copies_of_one_interval_are_spread(spark):
+    from lifeweave.operators.intervals import _ordered, _prepare
+
+    df = spark.range(4000).select(F.when(F.col("id") < 3000, "a").otherwise("b").alias("k"), F.lit(5.0).alias("t0"), F.lit(6.0).alias("t1"), F.col("id").cast("int").alias("i"))
+    sizes = [r["count"] for r in _ordered(_prepare(df, ["k"], "t0", "t1"), ["k"]).groupBy("__pid").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2000
+    assert {r["x"] for r in label_islands(df, ["k"], "t0", "t1", "x").collect()} == {5.0} and merge_intervals(df, "k", "t0", "t1").count() == 2
