@@ -32,10 +32,13 @@ _BULLET = re.compile(r"^\s*(?:[-*•‣◦▪·–—+]|\[[ xX✓]?\]|[☐☑✓
 _TERMINAL = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s*$")
 _COLUMNS = re.compile(r"\S(?: {2,}|\t)(?=\S)")
 _PAIRS = re.compile(r"(?<![\w=])[\w.:-]+=[^\s=]")
-_SPACE, _NOT_ALNUM, _SPACE_OR_DIGIT = re.compile(r"\s+"), re.compile(r"[\W_]+"), re.compile(r"[\s\d]+")
+_NOT_ALNUM, _DIGITS = re.compile(r"[\W_]+"), re.compile(r"\d+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _VOWELS = re.compile(r"[aeiouyàâäáãåæèéêëìíîïòóôöõøùúûüœýÿąęăăîâаеёиоуыэюяіїєα-ω]", re.IGNORECASE)
 
+#: A sign of an unpronounceable word in a line: only then its words are looked at one by one.
+_HINT = re.compile(r"\b[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]{4,}\b|[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]{6}|[a-z][A-Z]")
+_LATIN = re.compile(r"[A-Za-z]+")
 _NO_VOWEL, _MIXED = re.compile(r"[bcdfghjklmnpqrstvwxz]{6}", re.IGNORECASE), re.compile(r"[a-z][A-Z]")
 
 STATISTICS = {
@@ -66,8 +69,11 @@ def _dominant(words: list[str], n: int) -> float:
     if len(words) < 2 * n:
         return 0.0
     counts = Counter(zip(*(words[i:] for i in range(n))))
-    gram, times = min(counts.items(), key=lambda x: (-x[1], x[0]))
-    return min(1.0, times * sum(map(len, gram)) / max(1, sum(map(len, words)))) if times > 1 else 0.0
+    times = max(counts.values())
+    if times == 1:
+        return 0.0
+    gram = min(g for g, k in counts.items() if k == times)
+    return min(1.0, times * sum(map(len, gram)) / max(1, sum(map(len, words))))
 
 
 def _pronounceable(word: str) -> bool:
@@ -75,38 +81,37 @@ def _pronounceable(word: str) -> bool:
     return len(word) < 4 or not word.isascii() or bool(_VOWELS.search(word)) and not _NO_VOWEL.search(word) and not _MIXED.search(word, 1)
 
 
-def line_form(line: str) -> str:
-    """'list', 'table', 'junk' or 'text'."""
+def line_form(line: str, words: list[str], common: int) -> str:
+    """'list', 'table', 'junk' or 'text'. ``words``: the line's words in lower case; ``common``: how many are function words."""
     s = line.strip()
-    solid = len(_SPACE.sub("", s))
-    words = _WORDS.findall(s)
+    tokens = s.split()
+    solid, longest = sum(map(len, tokens)), max(map(len, tokens), default=0)
     letters = sum(map(len, words))
     if _CJK.search(s) and letters > 0.5 * solid:
         return "list" if _BULLET.match(line) else "text"
     if _BULLET.match(line):
         return "list"
-    common = sum(w.lower() in _COMMON for w in words)
     running = common >= 0.3 * len(words) and len(words) >= 5
-    cells = max(len(_COLUMNS.findall(s)), len(re.findall(r"\|", s)), len(re.findall(r";(?=\S)", s)), len(re.findall(r",(?=\S)", s)))
-    if not running and (("\t" in s and cells >= 1) or cells >= 2) or cells >= 1 and _COLUMNS.search(s) and not running and letters < 0.7 * solid:
-        return "table"
-    keyed = len(_PAIRS.findall(s))
-    if keyed >= 2 and not running:
-        return "table"
-    if keyed and re.match(r"[\[(]?[\d:.T-]+", s) and not running:
-        return "junk"  # a line of a log
     if s.count("<") >= 4 and len(re.findall(r"</?t[rdh]\b", s)) >= 4:
         return "table"
-    commas = s.count(",")
-    if commas >= 3 and len(s.split()) / (commas + 1) <= 4.5 and not _TERMINAL.search(s) and not running:
-        return "list"
+    if not running:
+        gaps = len(_COLUMNS.findall(s))
+        cells = max(gaps, s.count("|"), len(re.findall(r";(?=\S)", s)), len(re.findall(r",(?=\S)", s)))
+        if "\t" in s and cells or cells >= 2 or gaps and letters < 0.7 * solid:
+            return "table"
+        keyed = len(_PAIRS.findall(s)) if "=" in s else 0
+        if keyed >= 2:
+            return "table"
+        if keyed and re.match(r"[\[(]?[\d:.T-]+", s):
+            return "junk"  # a line of a log
+        commas = s.count(",")
+        if commas >= 3 and len(tokens) / (commas + 1) <= 4.5 and not _TERMINAL.search(s):
+            return "list"
     if solid and letters < 0.5 * solid:
         return "junk"
-    odd = sum(len(w) for w in words if not _pronounceable(w))
-    if odd > 0.4 * max(letters, 1) or any(len(w) > 40 for w in s.split()) and letters > 0:
-        longest = max(map(len, s.split()), default=0)
-        if odd > 0.4 * max(letters, 1) or longest > 0.5 * solid:
-            return "junk"
+    odd = sum(len(w) for w in _LATIN.findall(s) if not _pronounceable(w)) if _HINT.search(s) else 0
+    if odd > 0.4 * max(letters, 1) or longest > 40 and letters > 0 and longest > 0.5 * solid:
+        return "junk"
     return "text"
 
 
@@ -114,17 +119,20 @@ def describe(text: str | None) -> tuple:
     """The values of STATISTICS of one text, in order; a null text counts as empty."""
     text = text or ""
     n = len(text)
-    words = _WORDS.findall(text)
-    lower = [w.lower() for w in words]
     lines = [x for x in text.splitlines() if x.strip()]
-    solid = len(_SPACE.sub("", text))
-    symbols = solid - len(_NOT_ALNUM.sub("", text))
-    digits = solid - len(_SPACE_OR_DIGIT.sub("", text))
-    forms = Counter()
+    compact = "".join(text.split())
+    solid = len(compact)
+    symbols = solid - len(_NOT_ALNUM.sub("", compact))
+    digits = solid - len(_DIGITS.sub("", compact))
+    forms, lower, common = Counter(), [], 0
     for x in lines:
-        forms[line_form(x)] += len(x.strip())
+        words = _WORDS.findall(x.lower())
+        known = sum(map(_COMMON.__contains__, words))
+        forms[line_form(x, words, known)] += len(x.strip())
+        lower += words
+        common += known
+    words = lower
     size = sum(forms.values()) or 1
-    common = sum(w in _COMMON for w in lower)
     return (
         n, len(words), len(lines), sum(map(len, words)) / len(words) if words else 0.0, symbols / solid if solid else 0.0, digits / solid if solid else 0.0,
         sum(bool(_TERMINAL.search(x)) for x in lines) / len(lines) if lines else 0.0, common / len(words) if words else 0.0,
