@@ -33,6 +33,7 @@ _TERMINAL = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s*$")
 _COLUMNS = re.compile(r"\S(?: {2,}|\t)(?=\S)")
 _PAIRS = re.compile(r"(?<![\w=])[\w.:-]+=[^\s=]")
 _NOT_ALNUM, _DIGITS = re.compile(r"[\W_]+"), re.compile(r"\d+")
+_BEYOND_LATIN = re.compile(r"[\u0250-\U0010ffff]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _VOWELS = re.compile(r"[aeiouyàâäáãåæèéêëìíîïòóôöõøùúûüœýÿąęăăîâаеёиоуыэюяіїєα-ω]", re.IGNORECASE)
 
@@ -87,7 +88,7 @@ def line_form(line: str, words: list[str], common: int) -> str:
     tokens = s.split()
     solid, longest = sum(map(len, tokens)), max(map(len, tokens), default=0)
     letters = sum(map(len, words))
-    if _CJK.search(s) and letters > 0.5 * solid:
+    if not s.isascii() and letters > 0.5 * solid and _CJK.search(s):
         return "list" if _BULLET.match(line) else "text"
     if _BULLET.match(line):
         return "list"
@@ -105,7 +106,7 @@ def line_form(line: str, words: list[str], common: int) -> str:
         if keyed and re.match(r"[\[(]?[\d:.T-]+", s):
             return "junk"  # a line of a log
         commas = s.count(",")
-        if commas >= 3 and len(tokens) / (commas + 1) <= 4.5 and not _TERMINAL.search(s):
+        if commas >= 3 and len(tokens) / (commas + 1) <= 4.5 and not _TERMINAL.search(s[-12:]):
             return "list"
     if solid and letters < 0.5 * solid:
         return "junk"
@@ -135,7 +136,7 @@ def describe(text: str | None) -> tuple:
     size = sum(forms.values()) or 1
     return (
         n, len(words), len(lines), sum(map(len, words)) / len(words) if words else 0.0, symbols / solid if solid else 0.0, digits / solid if solid else 0.0,
-        sum(bool(_TERMINAL.search(x)) for x in lines) / len(lines) if lines else 0.0, common / len(words) if words else 0.0,
+        sum(bool(_TERMINAL.search(x[-12:])) for x in map(str.rstrip, lines)) / len(lines) if lines else 0.0, common / len(words) if words else 0.0,
         _repeated(lines), _repeated(re.split(r"\n\s*\n", text)), _dominant(lower, 2), _dominant(lower, 3), _dominant(lower, 4), forms["list"] / size, forms["table"] / size, forms["junk"] / size,
     )
 
@@ -144,12 +145,12 @@ def judge(text: str | None, stats: tuple) -> str:
     """'prose', 'list', 'table', 'junk' or 'empty'."""
     v = dict(zip(STATISTICS, stats))
     text = text or ""
-    if v["n_words"] == 0 and not _CJK.search(text):
+    if v["n_words"] == 0:
         return "empty" if not text.strip() else "junk"
     shares = {k: v[f"{k}_ratio"] for k in ("list", "table", "junk")}
     if sum(shares.values()) > 0.5:
         return max(shares, key=shares.get)
-    cjk = len(_CJK.findall(text))
+    cjk = 0 if text.isascii() else len(_CJK.findall(text))
     if cjk > 0.3 * len(text):
         return "prose"
     # what is left looks like words in lines: prose holds function words, lists of things don't
@@ -157,7 +158,7 @@ def judge(text: str | None, stats: tuple) -> str:
         return "junk"
     short = v["n_words"] / max(1, v["n_lines"])
     if v["common_word_ratio"] < 0.15:
-        latin = sum(c < "ɐ" for c in text) / max(1, len(text))
+        latin = 1 - len(_BEYOND_LATIN.findall(text)) / max(1, len(text))
         sentences = len(re.findall(r"[^\W\d_]{2,}[.!?…](?:\s|$)", text))
         # an unknown language: sentences of a plausible length, words of varied length, little repetition
         if latin < 0.5 and short >= 4 or sentences >= 1 and 4 <= v["n_words"] / sentences <= 40 and v["n_words"] >= 4 and v["common_word_ratio"] >= 0.05 or v["n_words"] < 12 and sentences and short >= 4:
