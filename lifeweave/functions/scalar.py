@@ -13,7 +13,8 @@ from lifeweave.functions.geo import c, valid_latlon
 IMAGE_EXT = ["jpg", "jpeg", "png", "heic", "heif", "webp", "tif", "tiff", "gif", "bmp"]
 VIDEO_EXT = ["mp4", "mov", "m4v", "3gp", "avi", "mkv", "mts", "webm"]
 FILE_TIME = r"(?<!\d)((?:19|20)\d{2})[-_.]?(\d{2})[-_.]?(\d{2})[-_ T.]?(\d{2})[-_.:]?(\d{2})[-_.:]?(\d{2})(?!\d{3,})"
-EDITED = r"(?iu)-(edited|bearbeitet|modifié|editado|modificato|bewerkt|redigerad|muokattu|edytowane|upravené|измененный|изменено|отредактировано)$"
+EDIT_MARKS = ["edited", "bearbeitet", "modifié", "editado", "modificato", "bewerkt", "redigerad", "muokattu", "edytowane", "upravené", "измененный", "изменено", "отредактировано"]
+EDITED = "(?iu)-(" + "|".join(EDIT_MARKS) + ")$"
 SKIP = r"(?iu)screenshot|screen[ _-]?shot|screen[ _-]?record|rpreplay|снимок экрана|скриншот|bildschirmfoto|captura"
 RECEIVED = r"(?iu)-WA\d+|^received_|telegram|viber|^FB_IMG|^Messenger_"
 RECEIVED_ORIGIN = r"(?iu)partner|shared"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lifeweave.functions import scalar
 from lifeweave.functions.geo import flat_km, haversine_m, lat_of, lon_of, smoothstep, world_x, world_y, zoom_for_bbox
-from lifeweave.plans.common import SQL_FIX, SQL_PHOTO, SQL_SCORE, SQL_SKIP, fixes, photos, sql_flat_km, sql_haversine
+from lifeweave.plans.common import SQL_FIX, SQL_PHOTO, SQL_SCORE, SQL_SKIP, fixes, photos, sql_file_time, sql_flat_km, sql_haversine
 from lifeweave.session import table
 
 
@@ -137,11 +137,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 _MY = "(1 - ln(tan(radians(least(greatest(lat, -85.0511), 85.0511))) + 1 / cos(radians(least(greatest(lat, -85.0511), 85.0511)))) / pi()) / 2"
 _WORLD = f"{SQL_FIX}, w AS (SELECT person, fix_id, t, (lon + 180.0) / 360.0 AS mx, {_MY} AS my FROM fix)"
-_FT = r"((?:19|20)\d{2})[-_.]?(\d{2})[-_.]?(\d{2})[-_ T.]?(\d{2})[-_.:]?(\d{2})[-_.:]?(\d{2})"
 _DATE = "(DATE '1970-01-01' + CAST(floor({}) AS INT))"
 SQL: dict[str, str] = {
     "mercator": f"WITH {_WORLD} SELECT fix_id, round(mx, 12) AS mx, round(my, 12) AS my, round(degrees(atan(sinh(pi() * (1 - 2 * my)))), 7) AS lat, round(mx * 360.0 - 180.0, 7) AS lon FROM w",
     "haversine_pairs": f"WITH {SQL_FIX}, p AS (SELECT fix_id, lat, lon, lag(lat) OVER w AS a, lag(lon) OVER w AS o FROM fix WINDOW w AS (PARTITION BY person ORDER BY t, fix_id)) SELECT fix_id, round({sql_haversine('a', 'o', 'lat', 'lon')}, 3) AS metres, round({sql_flat_km('a', 'o', 'lat', 'lon')}, 5) AS km FROM p",
+    "filename_time": f"WITH {SQL_PHOTO} SELECT photo_id, {sql_file_time('title')} AS ts FROM photo",
     "meta_score": f"WITH {SQL_PHOTO} SELECT photo_id, round({SQL_SCORE}, 6) AS score FROM photo",
     "names_and_kinds": f"""WITH {SQL_PHOTO}, p AS (SELECT *, string_split(uri, '::')[-1] AS path FROM photo WHERE uri IS NOT NULL), q AS (SELECT *, string_split(path, '/')[-1] AS name, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM p)
       SELECT photo_id, name, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir,

@@ -47,3 +47,10 @@ SQL_SCORE = (
     " - 1.5 * CAST(regexp_matches(title, '(?i)-WA\\d+|^received_|telegram|viber|^FB_IMG|^Messenger_') AS INT))"
 )
 SQL_SKIP = "regexp_matches(title, '(?i)screenshot|screen[ _-]?shot|screen[ _-]?record|rpreplay|снимок экрана|скриншот|bildschirmfoto|captura')"
+
+
+def sql_file_time(name: str) -> str:
+    """Unix seconds that a file name tells; RE2 has no lookaround, so what stands before and after the match is matched too."""
+    part = lambda i: f"regexp_extract({name}, '(?:^|[^0-9])((?:19|20)\\d\\d)[-_.]?(\\d\\d)[-_.]?(\\d\\d)[-_ T.]?(\\d\\d)[-_.:]?(\\d\\d)[-_.:]?(\\d\\d)(\\d*)', {i})"
+    text = " || ".join([part(1), "'-'", part(2), "'-'", part(3), "' '", part(4), "':'", part(5), "':'", part(6)])
+    return f"CASE WHEN {part(1)} <> '' AND length({part(7)}) < 3 THEN CAST(epoch(TRY_CAST({text} AS TIMESTAMP)) AS DOUBLE) END"

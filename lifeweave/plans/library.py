@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from lifeweave.functions import scalar
 from lifeweave.operators import library as ops
-from lifeweave.plans.common import SQL_PHOTO, photos
+from lifeweave.plans.common import SQL_PHOTO, photos, sql_file_time
 from lifeweave.session import table
 
-_MARKS = "edited|bearbeitet|modifié|editado|modificato|bewerkt|redigerad|muokattu|edytowane|upravené|измененный|изменено|отредактировано"
+_MARKS = "|".join(scalar.EDIT_MARKS)
 
 
 def _media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,9 +116,9 @@ def library_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (sidecar_pairing, unpaired_media, live_photo_fold, album_dedup, fold_posted_copies, merge_libraries, self_name, messages_directed, library_summary)
 }
-_FILE_TIME = r"((?:19|20)\d{2})[-_.]?(\d{2})[-_.]?(\d{2})[-_ T.]?(\d{2})[-_.:]?(\d{2})[-_.:]?(\d{2})"
 SQL: dict[str, str] = {
     "sidecar_pairing": f"WITH {_SQL_MEDIA} SELECT * FROM paired",
+    "unpaired_media": f"WITH {_SQL_MEDIA} SELECT media_id, name, {sql_file_time('name')} AS ts FROM paired WHERE sidecar_id IS NULL",
     "live_photo_fold": f"""WITH {_SQL_MEDIA} SELECT media_id, kind FROM media m WHERE NOT (kind = 'video' AND EXISTS (SELECT 1 FROM media i WHERE i.kind = 'image' AND i.person = m.person AND i.dir = m.dir
       AND lower(regexp_replace(i.name, '\\.[^.]*$', '')) = lower(regexp_replace(m.name, '\\.[^.]*$', ''))))""",
     "album_dedup": f"""WITH {SQL_PHOTO}, r AS (SELECT *, lower(regexp_replace(regexp_replace(title, '\\.[^.]*$', ''), '-({_MARKS})$', '', 'i')) AS st, CAST(round_even(ts, 0) AS BIGINT) AS sec,
