@@ -292,8 +292,7 @@ def repair(rows: DataFrame, sure: float = 0.5) -> DataFrame:
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Characters(counts)
 
-        @lru_cache(maxsize=50_000)
-        def one(group: str, text: str) -> tuple[str, float, str | None] | None:
+        def judge(group: str, text: str) -> tuple[str, float, str | None] | None:
             found = candidates(text)
             if len(found) == 1:
                 return None
@@ -304,8 +303,9 @@ def repair(rows: DataFrame, sure: float = 0.5) -> DataFrame:
             whole = found[k][0] not in (LOST, STRIPPED)
             return found[k][0], 1 - post[0], found[k][1] if whole else None
 
+        short = lru_cache(maxsize=50_000)(judge)
         for pdf in batches:
-            got = [one(g, t) for g, t in zip(pdf["grp"], pdf["text"])]
+            got = [(short if len(t) < 500 else judge)(g, t) for g, t in zip(pdf["grp"], pdf["text"])]
             hit = [i for i, x in enumerate(got) if x is not None]
             if hit:
                 part = pdf.iloc[hit]

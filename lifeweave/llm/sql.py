@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from lifeweave.functions.scalar import EDIT_MARKS
 from lifeweave.llm.conversations import NOTICES
-from lifeweave.llm.survivors import EDITED, PLATFORMS
+from lifeweave.llm.survivors import PLATFORMS
 
 _quote = lambda s: s.replace("'", "''")
 
@@ -15,7 +16,7 @@ WITH photo AS (
     + CAST(coalesce(favorite, false) AS INT) + CAST(trim(coalesce(origin, '')) <> '' AND NOT starts_with(lower(trim(coalesce(origin, ''))), 'from') AS INT)
     + CAST(coalesce(regexp_matches(uri, '(::|/)Photos from \\d{{4}}/[^/]*$'), false) AS INT) AS merits
   FROM photos WHERE person IS NOT NULL AND kind IS NOT NULL AND ts IS NOT NULL AND NOT isnan(ts)),
-named AS (SELECT *, regexp_replace(bare, '-({"|".join(EDITED)})$', '', 'i') AS stem FROM photo),
+named AS (SELECT *, regexp_replace(bare, '-({"|".join(EDIT_MARKS)})$', '', 'i') AS stem FROM photo),
 marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY person, kind, stem ORDER BY ts, photo_id) < 2 THEN 0 ELSE 1 END AS fresh FROM named WHERE NOT is_copy),
 own AS (SELECT photo_id, person, kind, stem, ts, merits, sum(fresh) OVER (PARTITION BY person, kind, stem ORDER BY ts, photo_id ROWS UNBOUNDED PRECEDING) AS island FROM marked),
 near AS (

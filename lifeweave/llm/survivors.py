@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lifeweave.functions import scalar
 from lifeweave.operators.intervals import label_islands
 
 #: Distinct values, or profiles, that one alignment takes at a time.
@@ -23,8 +24,6 @@ BLOCK = 200
 #: A column's gap: a value that has no token there. It votes with this share of the value's weight.
 GAP = ""
 
-# Suffixes that photo services add to the names of edited copies.
-EDITED = ["edited", "bearbeitet", "modifié", "editado", "modificato", "bewerkt", "redigerad", "muokattu", "edytowane", "upravené", "измененный", "изменено", "отредактировано"]
 # Platforms whose copies of a shot keep the camera's time but not its name.
 PLATFORMS = ["facebook", "instagram", "x"]
 
@@ -105,7 +104,7 @@ def shots(photos: DataFrame, extra: dict[str, Column] | None = None) -> DataFram
     shot less than two seconds away, or other such copies. Rows without person, kind or ts are in no shot; a row without
     a title, unless it is such a copy, is matched with others without one by time alone."""
     extra = extra or {}
-    stem = F.regexp_replace(F.lower(F.regexp_replace(F.coalesce("title", F.lit("")), r"\.[^.]*$", "")), "(?iu)-(" + "|".join(EDITED) + ")$", "")
+    stem = F.regexp_replace(F.lower(F.regexp_replace(F.coalesce("title", F.lit("")), r"\.[^.]*$", "")), scalar.EDITED, "")
     rows = photos.where(F.col("person").isNotNull() & F.col("kind").isNotNull() & F.col("ts").isNotNull() & ~F.isnan("ts")).select(
         "photo_id", "person", "kind", F.col("ts").cast("double").alias("ts"), stem.alias("stem"), (F.coalesce("source", F.lit("")).isin(PLATFORMS) & (F.coalesce("ts_origin", F.lit("")) == "exif")).alias("copy"), *[c.alias(n) for n, c in extra.items()]
     )
