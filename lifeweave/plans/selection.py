@@ -12,19 +12,25 @@ from lifeweave.functions import scalar
 from lifeweave.functions.geo import flat_km
 from lifeweave.operators.sessions import event_table, event_weight, home_cells, largest_remainder, sessionize
 from lifeweave.plans.common import SQL_PHOTO, SQL_SCORE, SQL_SKIP, photos, sql_flat_km
+from lifeweave.session import checkpoint
 
 CHOSEN = 60
 
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with their event and score."""
     items = photos(spark, sf_dir).where(~F.col("title").rlike(scalar.SKIP))
-    items = items.select("photo_id", "person", "uri", "ts", "lat", "lon", "kind", "favorite", scalar.meta_score().alias("score"))
+    items = items.select("photo_id", "person", "ts", "lat", "lon", "kind", scalar.meta_score().alias("score"))
     return sessionize(items, "person", "ts", "photo_id")
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_table(_items(spark, sf_dir), "person", "ts")
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written once: quotas, weights and pools all start from it."""
+    return checkpoint(_labelled(spark, sf_dir))
+
+
+def _events(items: DataFrame) -> DataFrame:
+    return event_table(items, "person", "ts")
 
 
 _SQL_EVENTS = f"""{SQL_PHOTO},
@@ -39,12 +45,12 @@ event AS (SELECT person, event, count(*) AS size, min(ts) AS t0, max(ts) AS t1,
 
 def sessionize_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each person's photos."""
-    return _events(spark, sf_dir).select("person", "event", "size", "t0", "t1", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "liked")
+    return _events(_labelled(spark, sf_dir)).select("person", "event", "size", "t0", "t1", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "liked")
 
 
 def home_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each person takes most photos."""
-    return home_cells(_events(spark, sf_dir), "person")
+    return home_cells(_events(_labelled(spark, sf_dir)), "person")
 
 
 _SQL_HOME = """
@@ -52,21 +58,24 @@ cell AS (SELECT person, round_even(lat * 10, 0) AS cy, round_even(lon * 10, 0) A
 home AS (SELECT person, cy / 10 AS home_lat, cx / 10 AS home_lon, items FROM cell QUALIFY row_number() OVER (PARTITION BY person ORDER BY items DESC, first) = 1)"""
 
 
-def _periods(spark: SparkSession, sf_dir: str, period: int = 30) -> DataFrame:
+def _periods(items: DataFrame, period: int = 30) -> DataFrame:
     """Items of each person in periods of so many days, with square-root weights."""
-    items = _items(spark, sf_dir)
     day = F.floor(F.col("ts") / (86400 * period)).cast("bigint")
     return items.groupBy("person", day.alias("period")).agg(F.count("*").alias("items")).withColumn("weight", F.sqrt("items"))
 
 
-def period_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of CHOSEN items among the periods of each person, by √items and no more than there are."""
-    p = _periods(spark, sf_dir)
+def _period_quota(items: DataFrame) -> DataFrame:
+    p = _periods(items)
     total = F.least(F.lit(CHOSEN), F.sum("items").over(Window.partitionBy("person"))).cast("bigint")
     p = p.withColumn("total", total)
     return largest_remainder(p, ["person"], "weight", "items", "total", "period", "quota").select("person", "period", "items", "quota")
 
 
+def period_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of CHOSEN items among the periods of each person, by √items and no more than there are."""
+    return _period_quota(_labelled(spark, sf_dir))
+
+
 def _sql_remainder(src: str, over: str, weight: str, cap: str, total: str, order: str, name: str) -> str:
     return f"""
 {name}_a AS (SELECT *, {total} * {weight} / sum({weight}) OVER (PARTITION BY {over}) AS raw FROM {src}),
@@ -102,9 +111,9 @@ def period_quota_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.mapInPandas(give, "person string, period bigint, items bigint, quota bigint")
 
 
-def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _weighted(items: DataFrame) -> DataFrame:
     """Events with their weight and their rank within the period of their start."""
-    events = _events(spark, sf_dir)
+    events = _events(items)
     home = home_cells(events, "person").select("person", "home_lat", "home_lon")
     events = events.join(home, "person", "left")
     far = F.coalesce(flat_km("lat", "lon", "home_lat", "home_lon") > 100, F.lit(False))
@@ -121,12 +130,12 @@ weighted AS (SELECT *, row_number() OVER (PARTITION BY person, period ORDER BY r
 
 def event_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight and rank of every event within its period."""
-    return _weighted(spark, sf_dir).select("person", "period", "event", F.round("weight", 6).alias("weight"), "rank")
+    return _weighted(_items(spark, sf_dir)).select("person", "period", "event", F.round("weight", 6).alias("weight"), "rank")
 
 
-def _event_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quotas = period_quota(spark, sf_dir).select("person", "period", F.col("quota").alias("q")).where("q > 0")
-    events = _weighted(spark, sf_dir).join(quotas, ["person", "period"])
+def _event_quota(items: DataFrame) -> DataFrame:
+    quotas = _period_quota(items).select("person", "period", F.col("quota").alias("q")).where("q > 0")
+    events = _weighted(items).join(quotas, ["person", "period"])
     top = events.where("rank <= q").withColumn("cap", F.greatest(F.lit(1), F.floor(F.col("size") / 3)).cast("bigint"))
     top = largest_remainder(top, ["person", "period"], "weight", "cap", "q", "rank", "quota").select("person", "period", "event", "rank", "quota", "q")
     short = top.groupBy("person", "period").agg(F.max("q").alias("q"), F.sum("quota").alias("given")).where("given < q")
@@ -136,7 +145,7 @@ def _event_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items to take of each chosen event: the best events of a period share its quota; what caps leave goes to the next ones."""
-    return _event_quota(spark, sf_dir)
+    return _event_quota(_items(spark, sf_dir))
 
 
 _SQL_EVENT_QUOTA = (
@@ -152,13 +161,14 @@ eq AS (SELECT person, period, event, rank, quota FROM tq WHERE quota > 0
 
 def representative_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the events that represent each person's life, period by period, with their places and quotas."""
-    chosen = _event_quota(spark, sf_dir)
-    return chosen.join(_events(spark, sf_dir), ["person", "event"]).select("person", "period", "event", "quota", "size", "t0", "t1", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+    items = _items(spark, sf_dir)
+    return _event_quota(items).join(_events(items), ["person", "event"]).select("person", "period", "event", "quota", "size", "t0", "t1", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of the chosen events: best by score, evenly spaced ones, and the two best videos."""
-    items = _items(spark, sf_dir).join(_event_quota(spark, sf_dir).select("person", "event", F.col("quota").alias("k")), ["person", "event"])
+    items = _items(spark, sf_dir)
+    items = items.join(_event_quota(items).select("person", "event", F.col("quota").alias("k")), ["person", "event"])
     group = Window.partitionBy("person", "event")
     by_score = group.orderBy(F.desc(F.round("score", 9)), "ts", "photo_id")
     items = items.withColumns({
