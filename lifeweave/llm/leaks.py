@@ -1,8 +1,8 @@
 """Evaluation texts that leak into documents, by Wu-Manber multi-pattern search.
 
 Method. Texts are folded to their letters and digits, so that case, punctuation, spacing, line breaks, hyphenation, quote
-marks and markup make no difference. The patterns are the folded strings of fixed length at each word of the test items,
-but for those that many items share. A table of block shifts skips positions at which no pattern can end, buckets by the
+marks and markup make no difference. The patterns are the folded strings of fixed length at each word of the test items;
+items of equal words are searched as one and found under all their ids. A table of block shifts skips positions at which no pattern can end, buckets by the
 suffix block select the patterns that may, and direct comparison confirms them. Each confirmed place is then widened to
 the longest equal run of characters, runs of one item are joined across changed words, and the best passage is measured.
 
@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 #: Items that a broadcast of patterns may hold, in characters; more are searched in several passes over the documents.
 PASS_CHARS = 4_000_000
 LENGTH, BLOCK = 20, 6
-#: A pattern that more items than this share is no seed. Words in a run of SHARED_WORDS that another item has too are shared.
-COMMON, SHARED_WORDS = 6, 7
+#: Words in a run of SHARED_WORDS that an item of another text has too are shared.
+SHARED_WORDS = 7
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>")
 _DROP = re.compile(r"[\W_]+")
@@ -50,10 +50,10 @@ def folded(text: str) -> str:
 
 
 class Item:
-    """A test item: its folded text, where its words begin and end in it, and which of them are its own."""
+    """The text of one or more test items: its folded form, where its words begin and end in it, and which are its own."""
 
     def __init__(self, key: int, text: str):
-        self.key = key
+        self.keys = {key}
         self.words = _WORD.findall(plain(text))
         self.text = "".join(self.words)
         self.begin, self.end, at = [], [], 0
@@ -68,7 +68,10 @@ class Patterns:
     """Shift table and suffix buckets over the items' patterns."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [Item(k, t) for k, t in items if t]
+        alike: dict[tuple[str, ...], Item] = {}
+        for it in (Item(k, t) for k, t in items if t):
+            alike.setdefault(tuple(it.words), it).keys |= it.keys
+        self.items = list(alike.values())
         runs: Counter = Counter()
         for it in self.items:
             runs.update({tuple(it.words[i : i + SHARED_WORDS]) for i in range(len(it.words) - SHARED_WORDS + 1)})
@@ -78,12 +81,11 @@ class Patterns:
                     it.own[i : i + SHARED_WORDS] = [False] * SHARED_WORDS
             if not any(it.own):  # another item has all of it
                 it.own = [True] * len(it.words)
-        where: dict[str, list[tuple[int, int]]] = {}
+        self.where: dict[str, list[tuple[int, int]]] = {}
         for n, it in enumerate(self.items):
             for at in it.begin:
                 if at + LENGTH <= len(it.text):
-                    where.setdefault(it.text[at : at + LENGTH], []).append((n, at))
-        self.where = {p: v for p, v in where.items() if len({n for n, _ in v}) <= COMMON}
+                    self.where.setdefault(it.text[at : at + LENGTH], []).append((n, at))
         self.shift: dict[str, int] = {}
         self.buckets: dict[str, set[str]] = {}
         for p in self.where:
@@ -123,7 +125,7 @@ class Patterns:
                 while b < len(text) and b - p + j < len(it) and text[b] == it[b - p + j]:
                     b += 1
                 by.append((a, a - p + j, b - a))
-        return {self.items[n].key: best for n, by in runs.items() if (best := self._best(self.items[n], [r for rs in by.values() for r in rs])) is not None}
+        return {k: best for n, by in runs.items() if (best := self._best(self.items[n], [r for rs in by.values() for r in rs])) is not None for k in self.items[n].keys}
 
     @staticmethod
     def _best(it: Item, runs: list[tuple[int, int, int]]) -> tuple[int, int, int, int] | None:
@@ -173,7 +175,7 @@ def find_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
     for each document and item; an empty table on either side gives no rows. Items larger than a pass go in several."""
     rows = [(r["item_id"], r["text"]) for r in items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").collect()]
     passes, size = [[]], 0
-    for r in sorted(rows):
+    for r in sorted(set(rows)):
         if passes[-1] and size + len(r[1]) > PASS_CHARS:
             passes.append([])
             size = 0
@@ -186,7 +188,7 @@ def find_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             patterns = Patterns(shared.value)
-            sizes = {it.key: len(it.words) for it in patterns.items}
+            sizes = {k: len(it.words) for it in patterns.items for k in it.keys}
 
             @lru_cache(maxsize=256)
             def one(text: str) -> dict:

@@ -112,6 +112,15 @@ def test_leaks(spark):
     assert leaks.leaks(d.limit(0), it).collect() == [] and leaks.leaks(d, it.limit(0)).collect() == []
 
 
+def test_items_that_share_a_text_are_all_found(spark):
+    r = random.Random(7)
+    same, short = sentence(r, 40), sentence(r, 14)
+    items = [(i, same if i % 2 else same.upper().replace(" ", " - ")) for i in range(9)] + [(3, same)] + [(20, short)] + [(30 + i, f"{short} {sentence(r, 30)}") for i in range(9)] + [(50, sentence(r, 40))]
+    docs = [(1, sentence(r, 50) + " " + same + " " + sentence(r, 50)), (2, " ".join(same.split()[10:30])), (3, sentence(r, 20) + " " + short), (4, sentence(r, 90))]
+    found = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "item_id").collect()
+    assert sorted(tuple(x) for x in found) == [(d, i) for d in (1, 2) for i in range(9)] + [(3, 20)]
+
+
 # ---- quality
 
 
