@@ -104,11 +104,15 @@ def order_replies(messages: DataFrame, conversation: list[str], stretch: float =
     if "reply_to" in messages.columns:
         rows = _blocks(messages, conversation, stretch)
     else:
-        # such replies point back in time, so any cut leaves the order as it is; the parent may lie before the block
+        # such replies point back in time, so any cut leaves the order as it is; the parent may lie before the block, so the
+        # last message of each role is carried over from earlier blocks, in one row a block
         rows = messages.select(*conversation, "ts", "id", "role", F.lit(False).alias("tied"), (F.floor(F.col("ts") / stretch) * stretch).cast("double").alias("block"))
+        ends = rows.groupBy(*conversation, "block").agg(*[F.max_by("id", F.when(F.col("role") == r, F.struct("ts", "id"))).alias(f"last_{r}") for r in (ME, OTHER)])
+        earlier = Window.partitionBy(*conversation).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*conversation, "block", *[F.last(f"last_{r}", ignorenulls=True).over(earlier).alias(f"last_{r}") for r in (ME, OTHER)])
         before = Window.partitionBy(*conversation, "block").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
-        last = lambda role: F.last(F.when(F.col("role") == role, F.col("id")), ignorenulls=True).over(before)
-        rows = rows.withColumn("reply_to", F.when(F.col("role") == ME, last(OTHER)).otherwise(last(ME)))
+        last = lambda role: F.coalesce(F.last(F.when(F.col("role") == role, F.col("id")), ignorenulls=True).over(before), F.col(f"last_{role}"))
+        rows = rows.join(ends, [*conversation, "block"]).withColumn("reply_to", F.when(F.col("role") == ME, last(OTHER)).otherwise(last(ME))).drop(f"last_{ME}", f"last_{OTHER}")
     keys = [*conversation, "block", "tied"]
     rows = rows.withColumn("reply_to", F.coalesce("reply_to", F.lit(NOTHING)))
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "ts", "id")

@@ -68,3 +68,18 @@ def test_order_in_blocks_equals_one_graph(spark, seed):
 def test_cycles(spark):
     df = spark.createDataFrame([("k", 1, 1.0, "me", 2), ("k", 2, 2.0, "me", 1), ("k", 3, 3.0, "me", 3), ("k", 4, 4.0, "me", None)], "conv string, id long, ts double, role string, reply_to long")
     assert {x["id"]: x["left_over"] for x in c.order_replies(df, ["conv"]).collect()} == {1: True, 2: True, 3: True, 4: False}
+
+
+def test_replies_reach_over_block_edges(spark):
+    r = random.Random(4)
+    rows = [(i, p, float(r.randint(0, 300_000)), "x", r.choices([IN, OUT], [1, k])[0], f"text {i}", "z") for k, p in ((1, "a"), (30, "b")) for i in range(k * 1000, k * 1000 + 150)]
+    want = {}
+    for p in "ab":
+        mine = sorted((x[2], x[0], x[4]) for x in rows if x[1] == p)
+        last, at = {}, None
+        for ts, i, kind in mine:
+            last = {} if at is not None and ts - at > c.SILENCE_S else last
+            want[i], last[kind], at = last.get(IN if kind == OUT else OUT), i, ts
+    got = {x["id"]: x for x in c.conversations(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) > 250 and {i: x["reply_to"] for i, x in got.items()} == {i: want[i] for i in got}
+    assert sum(x["reply_to"] is not None and got[x["reply_to"]]["block"] < x["block"] for x in got.values()) > 10
