@@ -42,6 +42,10 @@ _HINT = re.compile(r"\b[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]{4,}\b|[bcdfghj
 _LATIN = re.compile(r"[A-Za-z]+")
 _NO_VOWEL, _MIXED = re.compile(r"[bcdfghjklmnpqrstvwxz]{6}", re.IGNORECASE), re.compile(r"[a-z][A-Z]")
 
+#: A text is junk if its dominant n-gram covers more than DOMINANT of it (of a short text, more than DOMINANT_WORDS words, so
+#: that a turn of phrase used twice is none), or if more than REPEATED of it are paragraphs that occurred before.
+DOMINANT, DOMINANT_WORDS, REPEATED = 0.3, 10, 0.5
+
 STATISTICS = {
     "n_chars": "bigint", "n_words": "bigint", "n_lines": "bigint", "mean_word_length": "double", "symbol_ratio": "double", "digit_ratio": "double", "end_punctuation_ratio": "double", "common_word_ratio": "double",
     "duplicate_line_ratio": "double", "duplicate_paragraph_ratio": "double", "top_2gram_ratio": "double", "top_3gram_ratio": "double", "top_4gram_ratio": "double", "list_ratio": "double", "table_ratio": "double", "junk_ratio": "double",
@@ -150,6 +154,8 @@ def judge(text: str | None, stats: tuple) -> str:
     shares = {k: v[f"{k}_ratio"] for k in ("list", "table", "junk")}
     if sum(shares.values()) > 0.5:
         return max(shares, key=shares.get)
+    if max(v["top_2gram_ratio"], v["top_3gram_ratio"], v["top_4gram_ratio"]) > max(DOMINANT, DOMINANT_WORDS / v["n_words"]) or v["duplicate_paragraph_ratio"] > REPEATED:
+        return "junk"
     cjk = 0 if text.isascii() else len(_CJK.findall(text))
     if cjk > 0.3 * len(text):
         return "prose"

@@ -140,6 +140,16 @@ def test_other_forms(text):
     assert quality.judge(text, quality.describe(text)) != "prose"
 
 
+@pytest.mark.parametrize("text", ["the lights of the harbour " * 40, "the lights of the harbour " * 4, "\n\n".join(PROSE[:3] + PROSE[:2] * 2), "\n\n".join([PROSE[0]] * 3 + [PROSE[1]])])
+def test_repetition_is_junk(text):
+    assert quality.judge(text, quality.describe(text)) == "junk"
+
+
+@pytest.mark.parametrize("text", ["I know that he is here and I know that he is not there because the door was open all night.", "\n\n".join(PROSE[:3] + PROSE[:2]), "\n\n".join(PROSE[:3] * 2)])
+def test_a_second_time_is_no_junk(text):
+    assert quality.judge(text, quality.describe(text)) == "prose"
+
+
 def test_statistics(spark):
     v = dict(zip(quality.STATISTICS, quality.describe("One two.\nOne two.\n\n3 four!")))
     assert (v["n_words"], v["n_lines"], v["mean_word_length"], v["end_punctuation_ratio"]) == (5, 3, 3.2, 1.0)
