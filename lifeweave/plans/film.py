@@ -125,11 +125,11 @@ def visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trail of every tenth fix: how many of the last fifty points and the age of the oldest; at least two points."""
+    """The trail of every fix: how many of the last fifty points and the age of the oldest; at least two points."""
     age = F.least(F.col("n") - 1, F.lit(50))
     w = Window.partitionBy("person").orderBy("n").rowsBetween(-50, 0)
-    f = _numbered(spark, sf_dir).select("fix_id", "n", F.count("*").over(w).alias("points"), F.round(age / 50, 4).alias("oldest"), F.round(F.max("mx").over(w) - F.min("mx").over(w), 9).alias("width"))
-    return f.where("points >= 2 AND n % 10 = 0").drop("n")
+    f = _numbered(spark, sf_dir).select("fix_id", F.count("*").over(w).alias("points"), F.round(age / 50, 4).alias("oldest"), F.round(F.max("mx").over(w) - F.min("mx").over(w), 9).alias("width"))
+    return f.where("points >= 2")
 
 
 def frame_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
