@@ -49,9 +49,9 @@ def frame_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def film_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The camera that follows each film's dot, on every whole second."""
+    """The camera that follows each film's dot, on every frame."""
     cam = ops.follow_camera(ops.motion(frame_anchors(spark, sf_dir), _world(spark, sf_dir), "person"), frame_segments(spark, sf_dir), "person", FPS, HOLD + TRANS)
-    return cam.where(F.col("frame") % FPS == 0).select("person", "frame", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), F.round("zoom", 3).alias("zoom"), F.round("visible", 3).alias("visible"))
+    return cam.select("person", "frame", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), F.round("zoom", 3).alias("zoom"), F.round("visible", 3).alias("visible"))
 
 
 def film_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,3 +21,11 @@ def test_trail_of_every_fix(spark):
             want[track[k][0]] = (len(xs), pytest.approx(min(k, 50) / 50, abs=1e-4), pytest.approx(max(xs) - min(xs), abs=1e-9))
     got = {x["fix_id"]: (x["points"], x["oldest"], x["width"]) for x in film.trail(spark, DATA).collect()}
     assert got == want
+
+
+def test_camera_on_every_frame(spark):
+    frames = {}
+    for x in film.film_camera(spark, DATA).collect():
+        frames.setdefault(x["person"], []).append(x["frame"])
+    length = {x["person"]: x["f1"] for x in film.frame_segments(spark, DATA).where("kind = 'outro'").collect()}
+    assert frames and all(sorted(f) == list(range(length[p])) for p, f in frames.items())
