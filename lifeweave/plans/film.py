@@ -65,12 +65,9 @@ def film_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every hundredth second frame of a film shows: the segment that contains it."""
-    segs = frame_segments(spark, sf_dir)
-    step = 10 * FPS
-    first = F.ceil(F.col("f0") / step).cast("bigint")
-    last = F.ceil(F.col("f1") / step).cast("bigint") - 1
-    return segs.where(first <= last).select("person", F.explode(F.sequence(first, last)).alias("k"), "kind", "slot").select("person", (F.col("k") * step).alias("frame"), "kind", "slot")
+    """What every frame of a film shows: the segment that contains it."""
+    segs = frame_segments(spark, sf_dir).where("f0 < f1")
+    return segs.select("person", F.explode(F.sequence(F.col("f0"), F.col("f1") - 1)).alias("frame"), "kind", "slot")
 
 
 def chunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:

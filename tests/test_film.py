@@ -29,3 +29,8 @@ def test_camera_on_every_frame(spark):
         frames.setdefault(x["person"], []).append(x["frame"])
     length = {x["person"]: x["f1"] for x in film.frame_segments(spark, DATA).where("kind = 'outro'").collect()}
     assert frames and all(sorted(f) == list(range(length[p])) for p, f in frames.items())
+
+
+def test_every_frame_is_looked_up(spark):
+    want = sorted((x["person"], f, x["kind"], x["slot"]) for x in film.frame_segments(spark, DATA).collect() for f in range(x["f0"], x["f1"]))
+    assert want and sorted(tuple(x) for x in film.frame_lookup(spark, DATA).select("person", "frame", "kind", "slot").collect()) == want
