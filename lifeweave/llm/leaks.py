@@ -206,7 +206,7 @@ def find_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 def leaks(documents: DataFrame, items: DataFrame, share: float = 1 / 3, quotation: int = 12) -> DataFrame:
     """Pairs of ``find_passages`` that are leaks: the passage spans at least ``share`` of the item's words and more than a
-    short quotation (at least ``quotation`` words, or the whole of a shorter item), at most one in ten of them changed, and
-    as large a share of the words that are the item's own, which shared instructions aren't."""
+    short quotation (at least ``quotation`` words, the whole of a shorter item, or words most of which are the item's own), at
+    most one in ten of them changed, and as large a share of the words that are the item's own, which shared instructions aren't."""
     found = find_passages(documents, items)
-    return found.where(f"words >= {share!r} * item_words AND words >= least({int(quotation)}, item_words) AND own >= {0.9 * share!r} * item_own AND own > 0")
+    return found.where(f"words >= {share!r} * item_words AND (words >= least({int(quotation)}, item_words) OR 2 * own > words) AND own >= {0.9 * share!r} * item_own AND own > 0")

@@ -121,6 +121,14 @@ def test_items_that_share_a_text_are_all_found(spark):
     assert sorted(tuple(x) for x in found) == [(d, i) for d in (1, 2) for i in range(9)] + [(3, 20)]
 
 
+def test_a_third_of_a_short_item_is_a_leak(spark):
+    r = random.Random(8)
+    rule, own = sentence(r, 10), [sentence(r, 14).split() for _ in range(2)]
+    items = spark.createDataFrame([(i, f"{rule} {' '.join(w)}") for i, w in enumerate(own)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(own[0][2:11])), (2, " ".join(own[1][2:9])), (3, rule), (4, " ".join([*rule.split()[4:], *own[0][:4]]))], "doc_id long, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in leaks.leaks(docs, items).collect()} == {(1, 0)}
+
+
 # ---- quality
 
 
