@@ -184,7 +184,7 @@ SQL: dict[str, str] = {
     "frame_anchors": f"""WITH {_SQL_SLOTS}, h AS (SELECT s.person, f0, f1, ts, hold, media FROM seg s JOIN slots USING (person, slot) WHERE kind = 'hold')
       SELECT person, f0 AS frame, ts AS t, true AS video FROM h WHERE media = 'video' UNION ALL SELECT person, greatest(f0, f1 - 1), ts + hold, false FROM h WHERE media = 'video' UNION ALL SELECT person, (f0 + f1) // 2, ts, false FROM h WHERE media <> 'video'""",
     "film_summary": f"WITH {_SQL_SLOTS} SELECT person, count(*) FILTER (media <> 'video') AS photos, count(*) FILTER (media = 'video') AS clips, CAST(min(year(make_timestamp(CAST(floor(ts) * 1000000 AS BIGINT)))) AS BIGINT) AS first_year, CAST(max(year(make_timestamp(CAST(floor(ts) * 1000000 AS BIGINT)))) AS BIGINT) AS last_year, round(CAST({INTRO + OUTRO} + sum(CAST(hold AS DOUBLE)) + (count(*) - 1) * {TRANS} AS DOUBLE), 3) AS seconds FROM slots GROUP BY person",
-    "frame_lookup": f"WITH {_SQL_SLOTS} SELECT person, CAST(k * 100 AS BIGINT) AS frame, kind, slot FROM seg, generate_series(CAST(ceil(f0 / 100) AS BIGINT), CAST(ceil(f1 / 100) AS BIGINT) - 1) g(k)",
+    "frame_lookup": f"WITH {_SQL_SLOTS} SELECT person, CAST(k AS BIGINT) AS frame, kind, slot FROM seg, generate_series(f0, f1 - 1) g(k)",
     "chunk_bounds": f"""WITH {_SQL_SLOTS}, film AS (SELECT person, max(f1) AS n FROM seg GROUP BY person), goal AS (SELECT person, n, w, floor(n * w / 8) AS goal FROM film, generate_series(1, 7) g(w)),
       near AS (SELECT g.person, g.n, w, arg_min(f0, struct_pack(d := abs(f0 - goal), f := f0)) AS f0 FROM goal g JOIN seg s ON s.person = g.person AND s.kind = 'hold' GROUP BY ALL), cuts AS (SELECT DISTINCT person, n, f0 FROM near UNION SELECT person, n, 0 FROM film)
       SELECT person, row_number() OVER w AS chunk, f0, coalesce(lead(f0) OVER w, n) AS f1 FROM cuts WINDOW w AS (PARTITION BY person ORDER BY f0)""",
@@ -199,7 +199,7 @@ SQL: dict[str, str] = {
       SELECT fix_id, round(avg(CAST(ok AS DOUBLE)) OVER (PARTITION BY person ORDER BY n ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 6) AS share,
         coalesce(last_value(CASE WHEN ok THEN fix_id END IGNORE NULLS) OVER (PARTITION BY person ORDER BY n ROWS UNBOUNDED PRECEDING), first_value(fix_id) OVER (PARTITION BY person ORDER BY n)) AS from_fix FROM o""",
     "trail": f"""WITH {_SQL_NUMBERED}, x AS (SELECT fix_id, n, count(*) OVER w AS points, round(least(n - 1, 50) / 50, 4) AS oldest, round(max(mx) OVER w - min(mx) OVER w, 9) AS width FROM num WINDOW w AS (PARTITION BY person ORDER BY n ROWS BETWEEN 50 PRECEDING AND CURRENT ROW))
-      SELECT fix_id, points, oldest, width FROM x WHERE points >= 2 AND n % 10 = 0""",
+      SELECT fix_id, points, oldest, width FROM x WHERE points >= 2""",
     "frame_tiles": f"""WITH {_SQL_BOX}, v AS (SELECT DISTINCT round((x0 + x1) / 2, 5) AS cx, round((y0 + y1) / 2, 5) AS cy, CAST(floor({_ZOOM}) AS BIGINT) AS zoom FROM box), l AS (SELECT *, 'base' AS layer, CAST(zoom AS INT) AS z FROM v UNION ALL SELECT *, 'labels', CAST(greatest(zoom - 1, 0) AS INT) FROM v),
       e AS (SELECT layer, z, CAST(floor((cx * 256 * pow(2, z) - 480 / pow(2.0, zoom - z)) / 256) AS BIGINT) AS xa, CAST(floor((cx * 256 * pow(2, z) + 480 / pow(2.0, zoom - z)) / 256) AS BIGINT) AS xb, CAST(floor((cy * 256 * pow(2, z) - 270 / pow(2.0, zoom - z)) / 256) AS BIGINT) AS ya, CAST(floor((cy * 256 * pow(2, z) + 270 / pow(2.0, zoom - z)) / 256) AS BIGINT) AS yb, CAST(pow(2, z) AS BIGINT) AS side FROM l)
       SELECT DISTINCT layer, z, ((x % side) + side) % side AS x, y FROM e, generate_series(xa, xb) gx(x), generate_series(ya, yb) gy(y) WHERE y >= 0 AND y < side""",
