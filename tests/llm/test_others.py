@@ -71,7 +71,7 @@ def brute_leaks(documents, items):
     for d, text in documents:
         f = leaks.folded(text or "")
         for i, t in items:
-            words = leaks.Item(i, t).words
+            words = leaks.words_of(t)
             n = -(-len(words) // 3)
             n = max(n, min(12, len(words)))
             if any("".join(words[k : k + n]) in f for k in range(len(words) - n + 1)):
@@ -86,7 +86,7 @@ def sentence(r, n):
 def test_wu_manber_finds_every_occurrence():
     r = random.Random(4)
     items = [(i, sentence(r, r.randint(5, 60))) for i in range(40)]
-    p = leaks.Patterns(items)
+    p = leaks.Patterns([leaks.Item(i, leaks.words_of(t)) for i, t in items])
     text = leaks.folded(" ".join(sentence(r, 30) + " " + t[: r.randint(10, 300)] for _, t in items))
     want = sorted((i, text[i : i + leaks.LENGTH]) for i in range(len(text)) if text[i : i + leaks.LENGTH] in p.where)
     assert sorted(p.occurrences(text)) == want and want
@@ -129,6 +129,35 @@ def test_a_third_of_a_short_item_is_a_leak(spark):
     assert {(x["doc_id"], x["item_id"]) for x in leaks.leaks(docs, items).collect()} == {(1, 0)}
 
 
+@pytest.mark.parametrize("copies", [7, 100])
+def test_copies_of_an_item_are_all_found(spark, copies):
+    r = random.Random(9)
+    same, other = sentence(r, 60), sentence(r, 60)
+    items = spark.createDataFrame([(i, same) for i in range(copies)] + [(1000 + i, f"{same} {sentence(r, 60)}") for i in range(9)] + [(2000, other)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, sentence(r, 30) + " " + same), (2, other), (2, other)], "doc_id long, text string")
+    found = sorted(tuple(x) for x in leaks.leaks(docs, items).select("doc_id", "item_id").collect())
+    assert found == [(1, i) for i in range(copies)] + [(2, 2000)] * 2
+
+
+def test_passes_change_nothing(spark):
+    r = random.Random(10)
+    rule = "Read the notes below and then answer the question in one short sentence please."
+    items = spark.createDataFrame([(i, f"{rule} {sentence(r, 40)}") for i in range(30)], "item_id long, text string")
+    texts = [x["text"].split() for x in items.collect()]
+    docs = spark.createDataFrame([(i, " ".join(w[k : k + 24])) for i, w in enumerate(texts) for k in (0, 20)], "doc_id long, text string")
+    one, many = ({tuple(x) for x in leaks.leaks(docs, items, pass_chars=n).collect()} for n in (10**6, 1000))
+    assert one == many and len(one) == 30  # a passage that is half instructions is no leak
+
+
+def test_scripts_without_spaces(spark):
+    r = random.Random(11)
+    items = [(i, "".join(r.choice("山川田中日月火水木金土上下左右大小高低新古") for _ in range(90)) + "。") for i in range(4)]
+    docs = [(1, "昨日" + items[0][1][13:55] + "です"), (2, items[1][1][:20]), (3, "".join("々" if k % 11 == 5 else c for k, c in enumerate(items[2][1])))]
+    found = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x["doc_id"], x["item_id"]) for x in found.collect()} == {(1, 0), (3, 2)}
+    assert leaks.words_of("山川 ab-cd กิน") == ["山", "川", "ab", "cd", "ก", "น"] and leaks.folded("山川 ab-cd กิน") == "".join(leaks.words_of("山川 ab-cd กิน"))
+
+
 # ---- quality
 
 
