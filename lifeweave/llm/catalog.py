@@ -110,5 +110,10 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in stats.dtypes])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_records": p3_records, "p6_subset": p6_subset, "p6_coverage": p6_coverage, "p5_found": p5_found, "p5_turns": p5_turns, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_statistics": p10_statistics}
-SQL: dict[str, str] = {"p3_found": sql.P3, "p5_found": sql.P5}
+def p10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those of the statistics that SQL can count too."""
+    return p10_statistics(spark, sf_dir).select("doc_id", "n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "end_punctuation_ratio", "duplicate_line_ratio")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_records": p3_records, "p6_subset": p6_subset, "p6_coverage": p6_coverage, "p5_found": p5_found, "p5_turns": p5_turns, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_statistics": p10_statistics, "p10_counts": p10_counts}
+SQL: dict[str, str] = {"p3_found": sql.P3, "p5_found": sql.P5, "p10_counts": sql.P10_COUNTS}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lifeweave.functions.scalar import EDIT_MARKS
 from lifeweave.llm.conversations import NOTICES
+from lifeweave.llm.quality import CLOSING, TERMINAL
 from lifeweave.llm.survivors import PLATFORMS
 
 _quote = lambda s: s.replace("'", "''")
@@ -45,3 +46,17 @@ numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY person, source, name ORDER
 kept AS (SELECT person, source, name, talk, min(id) AS conv_id FROM numbered GROUP BY ALL HAVING count(DISTINCT kind) = 2)
 SELECT conv_id, id AS social_id FROM numbered JOIN kept USING (person, source, name, talk)
 """
+
+_LETTER, _BLANK = "[\\p{L}\\p{Nl}\\p{No}]", "[\\s\\p{Z}\\x{1c}-\\x{1f}\\x{85}]"
+_CLOSE = _quote(CLOSING).replace("]", "\\]")
+P10_COUNTS = f"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+line AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: regexp_replace(x, '^{_BLANK}+|{_BLANK}+$', '', 'g')), lambda x: x <> '')) AS line FROM doc),
+alike AS (SELECT doc_id, line, count(*) AS n FROM line GROUP BY ALL),
+of_lines AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, sum(n) FILTER (regexp_matches(line, '[{TERMINAL}][{_CLOSE}]*$')) / sum(n) AS ended, sum(length(line) * (n - 1)) / sum(length(line) * n) AS again FROM alike GROUP BY doc_id),
+sizes AS (SELECT doc_id, text, length(text) AS n_chars, regexp_extract_all(text, '{_LETTER}+(?:[''’]{_LETTER}+)*') AS words, length(regexp_replace(text, '{_BLANK}+', '', 'g')) AS solid, length(text) - length(regexp_replace(text, '\\p{{Nd}}+', '', 'g')) AS digits, length(text) - length(regexp_replace(text, '{_LETTER}+', '', 'g')) AS letters FROM doc)
+SELECT doc_id, n_chars, len(words) AS n_words, coalesce(n_lines, 0) AS n_lines, round(CASE WHEN len(words) > 0 THEN list_sum(list_transform(words, lambda x: length(x))) / len(words) ELSE 0 END, 6) AS mean_word_length,
+  round(CASE WHEN solid > 0 THEN (solid - letters - digits) / solid ELSE 0 END, 6) AS symbol_ratio, round(CASE WHEN solid > 0 THEN digits / solid ELSE 0 END, 6) AS digit_ratio,
+  round(coalesce(ended, 0), 6) AS end_punctuation_ratio, round(coalesce(again, 0), 6) AS duplicate_line_ratio
+FROM sizes LEFT JOIN of_lines USING (doc_id)
+"""

@@ -169,30 +169,49 @@ OTHER = ["", "  \n ", None, "...", "- soup\n- bread\n- ask my cousin about the b
 
 @pytest.mark.parametrize("text", PROSE)
 def test_prose(text):
-    assert quality.judge(text, quality.describe(text)) == "prose"
+    assert quality.judge(text, quality.describe([text])[0]) == "prose"
 
 
 @pytest.mark.parametrize("text", OTHER)
 def test_other_forms(text):
-    assert quality.judge(text, quality.describe(text)) != "prose"
+    assert quality.judge(text, quality.describe([text])[0]) != "prose"
 
 
-@pytest.mark.parametrize("text", ["the lights of the harbour " * 40, "the lights of the harbour " * 4, "\n\n".join(PROSE[:3] + PROSE[:2] * 2), "\n\n".join([PROSE[0]] * 3 + [PROSE[1]])])
+@pytest.mark.parametrize("text", ["the lights of the harbour " * 40, "the lights of the harbour " * 4, "\n\n".join(PROSE[:3] + PROSE[:2] * 2), "\n\n".join([PROSE[0]] * 3 + [PROSE[1]]), "click here to win the prize of your life " * 300, "we walked along the river until it was dark and then had soup at the old inn by the bridge " * 5, "bcdf77 ghjk88 lmnp99 qrst11 is the.\n" * 3, "bcdf77 ghjk88 lmnp99 qrst11 is the."])
 def test_repetition_is_junk(text):
-    assert quality.judge(text, quality.describe(text)) == "junk"
+    assert quality.judge(text, quality.describe([text])[0]) == "junk"
+
+
+def test_boilerplate():
+    page = "We use cookies to give you the best walk through our pages.\nRead our cookie policy before you go on.\nSubscribe to our newsletter to hear about the river first."
+    judged = lambda t: quality.judge(t, quality.describe([t])[0])
+    assert judged(page) == "boilerplate" and judged("\n\n".join([page] * 3)) == "junk"
+    assert judged(page + "\n" + "\n".join(PROSE[:4] * 2)) == "prose"
+
+
+def test_dominant_n_grams_equal_a_plain_count():
+    r = random.Random(12)
+    texts = [" ".join(r.choice(["bo", "Lin", "the", "aa", "river"]) for _ in range(r.randint(0, 60))) for _ in range(200)]
+    for text, row in zip(texts, quality.describe(texts)):
+        words, v = text.lower().split(), dict(zip(quality.STATISTICS, row))
+        for n in quality.GRAMS:
+            grams = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+            most = max(((grams.count(g), sum(map(len, g))) for g in grams), default=(0, 0))
+            want = min(1.0, most[0] * most[1] / sum(map(len, words))) if most[0] > 1 and len(words) >= 2 * n else 0.0
+            assert v[f"top_{n}gram_ratio"] == pytest.approx(want)
 
 
 @pytest.mark.parametrize("text", ["I know that he is here and I know that he is not there because the door was open all night.", "\n\n".join(PROSE[:3] + PROSE[:2]), "\n\n".join(PROSE[:3] * 2)])
 def test_a_second_time_is_no_junk(text):
-    assert quality.judge(text, quality.describe(text)) == "prose"
+    assert quality.judge(text, quality.describe([text])[0]) == "prose"
 
 
 def test_statistics(spark):
-    v = dict(zip(quality.STATISTICS, quality.describe("One two.\nOne two.\n\n3 four!")))
+    v = dict(zip(quality.STATISTICS, quality.describe(["One two.\nOne two.\n\n3 four!"])[0]))
     assert (v["n_words"], v["n_lines"], v["mean_word_length"], v["end_punctuation_ratio"]) == (5, 3, 3.2, 1.0)
     assert v["duplicate_line_ratio"] == pytest.approx(8 / 23) and v["symbol_ratio"] == pytest.approx(3 / 20) and v["digit_ratio"] == pytest.approx(1 / 20)
-    assert quality.describe(None) == quality.describe("")
-    assert dict(zip(quality.STATISTICS, quality.describe("a b a b a b a b")))["top_2gram_ratio"] == 1.0
+    assert quality.describe([None]) == quality.describe([""])
+    assert dict(zip(quality.STATISTICS, quality.describe(["a b a b a b a b"])[0]))["top_2gram_ratio"] == 1.0
     df = spark.createDataFrame([(1, "x. " * 100_000), (2, None), (2, "same"), (2, "same")], "doc_id long, text string").withColumn("form", F.lit(1))
     assert quality.text_quality(df).count() == 4 and quality.text_quality(df.limit(0)).collect() == []
 
