@@ -116,4 +116,4 @@ def p10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_records": p3_records, "p6_subset": p6_subset, "p6_coverage": p6_coverage, "p5_found": p5_found, "p5_turns": p5_turns, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_statistics": p10_statistics, "p10_counts": p10_counts}
-SQL: dict[str, str] = {"p3_found": sql.P3, "p5_found": sql.P5, "p10_counts": sql.P10_COUNTS}
+SQL: dict[str, str] = {"p3_found": sql.P3, "p5_found": sql.P5, "p5_turns": sql.P5_TURNS, "p10_counts": sql.P10_COUNTS}

@@ -2,18 +2,20 @@
 
 Method: messages of one thread are cut at long silences; within a conversation every message replies to another one (a
 given parent, or else the last message of the other side); Kahn's algorithm sorts this reply graph, taking the earliest
-message that is free (time, then id); nodes left over lie on or behind a cycle. Then roles and completeness are checked.
+message that is free (time, then id); nodes left over lie on or behind a cycle. Then the alternation of roles in this order
+and completeness are checked.
 
 Distribution: silences are found by the range-partitioned scan of ``intervals``, so a busy thread is spread over tasks.
 Replies that point back in time never delay anything in Kahn's order; only a reply to a later message does, and no
 further than up to that message. So the order is settled in blocks: the spans of such replies, and between them fixed
-stretches of time. Kahn's algorithm runs per block, with a frontier of waiting messages only.
+stretches of time. Within a block rows stream in order of time; what is held is the frontier, the messages that wait for a
+later one, so a reply far ahead makes a long block but no large one.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lifeweave.operators.intervals import label_islands
-from lifeweave.session import nullable
+from lifeweave.session import checkpoint, nullable
 
 # Notices that platforms write in place of a message. A point stands for any few characters, as notices
 # may be garbled by a wrong encoding.
@@ -54,28 +56,33 @@ def fold_name(who: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(who, r"[\s\p{Z}]+", " ")))
 
 
-def kahn(nodes: Iterable[tuple], parents: dict) -> tuple[list, list]:
-    """(ids in order, ids left over). ``nodes``: (time, id); ``parents``: id to the id it replies to. A parent that isn't
-    among the nodes counts as seen. Among free nodes the earliest comes first, ties by id."""
-    nodes = list(nodes)
-    ids = {i for _, i in nodes}
-    waiting: dict = {}
-    free: list = []
-    for t, i in nodes:
-        p = parents.get(i)
-        if p is not None and p in ids:
-            waiting.setdefault(p, []).append((t, i))
-        else:
-            free.append((t, i))
-    heapq.heapify(free)
-    order = []
-    while free:
-        _, i = heapq.heappop(free)
-        order.append(i)
-        for child in waiting.pop(i, ()):
-            heapq.heappush(free, child)
-    seen = set(order)
-    return order, [i for _, i in nodes if i not in seen]
+class Kahn:
+    """Kahn's algorithm over the messages of a block that come in order of (time, id).
+
+    A message whose parent has been placed is free at once, and the earliest that can be; one whose parent is yet to come, or
+    waits itself, joins the frontier and is placed, with what waits for it, when its parent is. What never is lies on or
+    behind a cycle."""
+
+    def __init__(self):
+        self.placed = 0
+        self.frontier: dict[int, list[tuple[float, int]]] = {}
+        self.waiting: dict[int, tuple[float, int]] = {}
+
+    def add(self, ts: float, i: int, parent: int, late: bool) -> list[tuple[int, int]]:
+        """(id, turn) of what is placed once message ``i`` has come. ``late``: its parent comes after it."""
+        if late or parent in self.waiting:
+            self.frontier.setdefault(parent, []).append((ts, i))
+            self.waiting[i] = (ts, parent)
+            return []
+        out, free = [], [(ts, i)]
+        while free:
+            _, k = heapq.heappop(free)
+            out.append((k, self.placed))
+            self.placed += 1
+            for child in self.frontier.pop(k, ()):
+                del self.waiting[child[1]]
+                heapq.heappush(free, child)
+        return out
 
 
 def _blocks(messages: DataFrame, conversation: list[str], stretch: float) -> DataFrame:
@@ -85,13 +92,14 @@ def _blocks(messages: DataFrame, conversation: list[str], stretch: float) -> Dat
     for c in conversation:
         linked = linked.where(F.col(c) == F.col(f"parent_{c}"))
     late = linked.where((F.col("parent_ts") > F.col("ts")) | ((F.col("parent_ts") == F.col("ts")) & (F.col("reply_to") >= F.col("id"))))
-    spans = late.select(*conversation, F.col("ts").alias("s"), F.col("parent_ts").alias("e"), F.lit(NOTHING).alias("id"), F.lit(NOTHING).alias("reply_to"), F.lit(None).cast("string").alias("role"), F.lit(True).alias("span"))
-    points = messages.select(*conversation, F.col("ts").alias("s"), F.col("ts").alias("e"), "id", F.coalesce("reply_to", F.lit(NOTHING)).alias("reply_to"), "role", F.lit(False).alias("span"))
+    messages = messages.join(late.select("id", F.lit(True).alias("late")), "id", "left").withColumn("late", F.coalesce("late", F.lit(False)))
+    spans = late.select(*conversation, F.col("ts").alias("s"), F.col("parent_ts").alias("e"), F.lit(NOTHING).alias("id"), F.lit(NOTHING).alias("reply_to"), F.lit(None).cast("string").alias("role"), F.lit(True).alias("late"), F.lit(True).alias("span"))
+    points = messages.select(*conversation, F.col("ts").alias("s"), F.col("ts").alias("e"), "id", F.coalesce("reply_to", F.lit(NOTHING)).alias("reply_to"), "role", "late", F.lit(False).alias("span"))
     islands = label_islands(spans.unionByName(points), conversation, "s", "e", "tie")
     ties = islands.where("span").select(*conversation, "tie").distinct().withColumn("tied", F.lit(True))
     rows = islands.where("NOT span").join(ties, [*conversation, "tie"], "left")
     block = F.when(F.col("tied"), F.col("tie")).otherwise(F.floor(F.col("s") / stretch) * stretch)
-    return rows.select(*conversation, F.col("s").alias("ts"), "id", "reply_to", "role", F.coalesce("tied", F.lit(False)).alias("tied"), block.cast("double").alias("block"))
+    return rows.select(*conversation, F.col("s").alias("ts"), "id", "reply_to", "role", "late", F.coalesce("tied", F.lit(False)).alias("tied"), block.cast("double").alias("block"))
 
 
 def order_replies(messages: DataFrame, conversation: list[str], stretch: float = 21_600.0) -> DataFrame:
@@ -106,7 +114,7 @@ def order_replies(messages: DataFrame, conversation: list[str], stretch: float =
     else:
         # such replies point back in time, so any cut leaves the order as it is; the parent may lie before the block, so the
         # last message of each role is carried over from earlier blocks, in one row a block
-        rows = messages.select(*conversation, "ts", "id", "role", F.lit(False).alias("tied"), (F.floor(F.col("ts") / stretch) * stretch).cast("double").alias("block"))
+        rows = messages.select(*conversation, "ts", "id", "role", F.lit(False).alias("late"), F.lit(False).alias("tied"), (F.floor(F.col("ts") / stretch) * stretch).cast("double").alias("block"))
         ends = rows.groupBy(*conversation, "block").agg(*[F.max_by("id", F.when(F.col("role") == r, F.struct("ts", "id"))).alias(f"last_{r}") for r in (ME, OTHER)])
         earlier = Window.partitionBy(*conversation).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
         ends = ends.select(*conversation, "block", *[F.last(f"last_{r}", ignorenulls=True).over(earlier).alias(f"last_{r}") for r in (ME, OTHER)])
@@ -116,47 +124,62 @@ def order_replies(messages: DataFrame, conversation: list[str], stretch: float =
     keys = [*conversation, "block", "tied"]
     rows = rows.withColumn("reply_to", F.coalesce("reply_to", F.lit(NOTHING)))
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "ts", "id")
-    schema = nullable(rows.select(*rows.columns, F.lit(0).cast("bigint").alias("turn"), F.lit(False).alias("left_over")).schema)
+    schema = nullable(rows.drop("late").select(*[c for c in rows.columns if c != "late"], F.lit(0).cast("bigint").alias("turn"), F.lit(False).alias("left_over")).schema)
+    columns = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-
-        def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        block: tuple | None = None
+        graph = Kahn()
+        held: dict[int, tuple] = {}  # rows of the frontier
+        for pdf in batches:
+            if not len(pdf):
+                continue
             new = np.zeros(len(pdf), dtype=bool)
-            new[0] = True
+            new[0] = block is None or tuple(pdf[c].iat[0] for c in keys) != block
             for c in keys:
                 v = pdf[c].to_numpy()
                 new[1:] |= v[1:] != v[:-1]
-            cuts = [*np.flatnonzero(new).tolist(), len(pdf)]
-            ts, ids = pdf["ts"].tolist(), pdf["id"].tolist()
-            replies = [None if p == NOTHING else p for p in pdf["reply_to"].tolist()]
-            turns: list = [None] * len(pdf)
-            for a, b in zip(cuts, cuts[1:]):
-                place = {i: k for k, i in enumerate(ids[a:b], a)}
-                order, _ = kahn(zip(ts[a:b], ids[a:b]), dict(zip(ids[a:b], replies[a:b])))
-                for k, i in enumerate(order):
-                    turns[place[i]] = k
-            turn = pd.array(turns, dtype="Int64")
-            return pdf.assign(turn=turn, left_over=turn.isna())
-
-        for pdf in batches:  # blocks aren't split: the last one of a batch waits for the next batch
-            if not len(pdf):
-                continue
-            if held is not None:
-                pdf = pd.concat([held, pdf], ignore_index=True)
-            differs = np.zeros(len(pdf), dtype=bool)
-            for c in keys:
-                differs |= (pdf[c] != pdf[c].iat[-1]).to_numpy()
-            cut = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
-            held = pdf.iloc[cut:]
-            if cut:
-                yield settle(pdf.iloc[:cut])
-        if held is not None:
-            yield settle(held)
+            late = pdf["late"].to_numpy(dtype=bool)
+            start = np.flatnonzero(new).tolist()
+            at, turn, left = np.arange(len(pdf)), np.empty(len(pdf), dtype=object), np.zeros(len(pdf), dtype=bool)
+            extra: list[tuple] = []
+            rest = pdf.drop(columns="late")
+            for a, b in zip([0, *start] if not new[0] else start, [*start, len(pdf)] if not new[0] else [*start[1:], len(pdf)]):
+                if a == b:
+                    continue
+                if new[a]:
+                    extra += [(*row, None, True) for row in held.values()]
+                    graph, held = Kahn(), {}
+                if not held and not late[a:b].any():  # nothing waits: the order is that of time
+                    turn[a:b] = at[: b - a] + graph.placed
+                    graph.placed += b - a
+                    continue
+                here = {}
+                for k, ts, i, parent, is_late in zip(range(a, b), pdf["ts"].iloc[a:b].tolist(), pdf["id"].iloc[a:b].tolist(), pdf["reply_to"].iloc[a:b].tolist(), late[a:b].tolist()):
+                    here[i] = k
+                    for j, t in graph.add(ts, i, parent, is_late):
+                        if j in here:
+                            turn[here[j]] = t
+                        else:
+                            extra.append((*held.pop(j), t, False))
+                for i in graph.waiting:
+                    if i in here:  # waits beyond this batch or its block
+                        held[i] = tuple(rest.iloc[here[i]].tolist())
+                        left[here[i]] = True
+            block = tuple(pdf[c].iat[-1] for c in keys)
+            out = rest[~left].assign(turn=pd.array(turn[~left], dtype="Int64"), left_over=False)
+            yield pd.concat([out, _frame(extra, columns)]) if extra else out
+        if held:
+            yield _frame([(*row, None, True) for row in held.values()], columns)
 
     return ordered.mapInPandas(run, schema).withColumn("reply_to", F.nullif("reply_to", F.lit(NOTHING)))
 
 
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=columns)
+    return out.assign(turn=pd.array(out["turn"].tolist(), dtype="Int64"))
+
+
 def messages_of(social: DataFrame) -> DataFrame:
     """The messages that count, once each: person, source, name (of the counterpart, folded), ts, role, id.
 
@@ -168,16 +191,29 @@ def messages_of(social: DataFrame) -> DataFrame:
     return once.select("person", "source", fold_name(F.col("who")).alias("name"), "ts", F.when(F.col("kind") == "message_out", ME).otherwise(OTHER).alias("role"), "id")
 
 
+def alternations(ordered: DataFrame, key: list[str]) -> DataFrame:
+    """key and alternations: how often the role changes from one message of Kahn's order to the next. Changes within a block
+    are counted there; from block to block only the roles at its ends are compared."""
+    inside = Window.partitionBy(*key, "block").orderBy("turn")
+    blocks = ordered.withColumn("turned", (F.col("role") != F.lag("role").over(inside)).cast("bigint")).groupBy(*key, "block").agg(
+        F.sum(F.coalesce("turned", F.lit(0))).alias("turned"), F.min_by("role", "turn").alias("first"), F.max_by("role", "turn").alias("last"),
+    )
+    along = Window.partitionBy(*key).orderBy("block")
+    return blocks.withColumn("edge", F.coalesce((F.col("first") != F.lag("last").over(along)).cast("bigint"), F.lit(0))).groupBy(*key).agg(F.sum(F.col("turned") + F.col("edge")).alias("alternations"))
+
+
 def conversations(social: DataFrame, silence: float = SILENCE_S) -> DataFrame:
     """Kept conversations, one row a message: conv_id (its smallest id), id, ts, role, reply_to, block, turn.
 
     A conversation is a person's messages with one counterpart on one source without a silence of more than ``silence``.
-    It is dropped if a side never speaks or if its replies hold a cycle. Ties in time go by id; an empty table gives no
-    rows; rows with unknown values in the columns that make a message are no messages; extra columns are ignored."""
+    It is kept if in Kahn's order of its replies the role changes at least once (both sides speak, one answers the other) and
+    no message is left over by a cycle. Ties in time go by id; an empty table gives no rows; rows with unknown values in the
+    columns that make a message are no messages; extra columns are ignored."""
     key = ["person", "source", "name", "start"]
     rows = label_islands(messages_of(social), ["person", "source", "name"], "ts", F.col("ts") + silence, "start")
     rows = order_replies(rows.withColumn("start", F.col("start").cast("string")), key)
-    kept = rows.groupBy(*key).agg(
-        F.min("id").alias("conv_id"), F.count_if(F.col("role") == ME).alias("mine"), F.count_if(F.col("role") == OTHER).alias("theirs"), F.count_if("left_over").alias("broken"),
-    ).where("mine > 0 AND theirs > 0 AND broken = 0")
+    # the messages are settled once; the checks and the rows start from there
+    rows = checkpoint(rows)
+    whole = rows.groupBy(*key).agg(F.min("id").alias("conv_id"), F.count_if("left_over").alias("broken")).where("broken = 0")
+    kept = whole.join(alternations(rows, key).where("alternations > 0"), key)
     return rows.join(kept.select(*key, "conv_id"), key).select("conv_id", "id", "ts", "role", "reply_to", "block", "turn")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lifeweave.functions.scalar import EDIT_MARKS
-from lifeweave.llm.conversations import NOTICES
+from lifeweave.llm.conversations import ME, NOTICES, OTHER
 from lifeweave.llm.quality import CLOSING, TERMINAL
 from lifeweave.llm.survivors import PLATFORMS
 
@@ -33,7 +33,7 @@ SELECT min(photo_id) AS first_id, arg_min(photo_id, -merits * 1000000000000 + ph
 FROM all_rows GROUP BY person, kind, stem, island HAVING count(*) > 1
 """
 
-P5 = f"""
+_TALKS = f"""
 WITH once AS (
   SELECT person, source, who, kind, ts, text, min(social_id) AS id FROM social
   WHERE kind IN ('message_in', 'message_out') AND ts IS NOT NULL AND NOT isnan(ts) AND ts <> 0 AND person IS NOT NULL AND source IS NOT NULL
@@ -43,9 +43,14 @@ WITH once AS (
 rows AS (SELECT person, source, lower(trim(regexp_replace(who, '[\\s\\p{{Z}}]+', ' ', 'g'))) AS name, kind, ts, id FROM once),
 marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY person, source, name ORDER BY ts, id) <= 28800 THEN 0 ELSE 1 END AS fresh FROM rows),
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY person, source, name ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS talk FROM marked),
-kept AS (SELECT person, source, name, talk, min(id) AS conv_id FROM numbered GROUP BY ALL HAVING count(DISTINCT kind) = 2)
-SELECT conv_id, id AS social_id FROM numbered JOIN kept USING (person, source, name, talk)
-"""
+kept AS (SELECT person, source, name, talk, min(id) AS conv_id FROM numbered GROUP BY ALL HAVING count(DISTINCT kind) = 2)"""
+P5 = _TALKS + "\nSELECT conv_id, id AS social_id FROM numbered JOIN kept USING (person, source, name, talk)"
+P5_TURNS = _TALKS + f""",
+turns AS (
+  SELECT *, CASE WHEN kind = 'message_out' THEN '{ME}' ELSE '{OTHER}' END AS role, CAST(floor(ts / 21600) * 21600 AS BIGINT) AS block,
+    CASE WHEN kind = 'message_out' THEN last_value(CASE WHEN kind = 'message_in' THEN id END IGNORE NULLS) OVER before ELSE last_value(CASE WHEN kind = 'message_out' THEN id END IGNORE NULLS) OVER before END AS reply_to
+  FROM numbered WINDOW before AS (PARTITION BY person, source, name, talk ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id, id AS social_id, role, reply_to, block, row_number() OVER (PARTITION BY conv_id, block ORDER BY ts, id) - 1 AS turn FROM turns JOIN kept USING (person, source, name, talk)"""
 
 _LETTER, _BLANK = "[\\p{L}\\p{Nl}\\p{No}]", "[\\s\\p{Z}\\x{1c}-\\x{1f}\\x{85}]"
 _CLOSE = _quote(CLOSING).replace("]", "\\]")

@@ -56,7 +56,6 @@ def test_order_in_blocks_equals_one_graph(spark, seed):
             parents[i] = r.choice(near)
     if seed == 2:
         parents = {i: p for i, p in parents.items() if nodes[p] < nodes[i] or r.random() < 0.1}
-    assert c.kahn(nodes, parents)[0] == brute(nodes, parents)[0]
     df = spark.createDataFrame([("k", i, t, "me", parents.get(i)) for t, i in nodes] + [("l", 1000, 5.0, "me", 3)], "conv string, id long, ts double, role string, reply_to long")
     rows = [x for x in c.order_replies(df, ["conv"], stretch=100.0).collect() if x["conv"] == "k"]
     order, left = brute(nodes, parents)
@@ -70,6 +69,23 @@ def test_cycles(spark):
     assert {x["id"]: x["left_over"] for x in c.order_replies(df, ["conv"]).collect()} == {1: True, 2: True, 3: True, 4: False}
 
 
+def test_a_reply_far_ahead_holds_only_what_waits(spark):
+    n = 3000
+    rows = [("k", i, float(i), "me", n - 1 if i == 5 else 5 if i in (6, 2000) else 6 if i == 7 else i - 1 if i > 100 and i != 2001 else None) for i in range(n)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = c.order_replies(spark.createDataFrame(rows, "conv string, id long, ts double, role string, reply_to long"), ["conv"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [x["id"] for x in sorted(got, key=lambda x: (x["block"], x["turn"]))] == brute([(t, i) for _, i, t, _, _ in rows], {i: p for _, i, _, _, p in rows})[0]
+
+
+def test_alternations(spark):
+    rows = [("k", i, i * 5000.0, c.ME if r == "m" else c.OTHER) for i, r in enumerate("mmoommomoo")] + [("l", 50 + i, i * 9000.0, c.ME) for i in range(5)]
+    ordered = c.order_replies(spark.createDataFrame(rows, "conv string, id long, ts double, role string"), ["conv"])
+    assert {x["conv"]: x["alternations"] for x in c.alternations(ordered, ["conv"]).collect()} == {"k": 5, "l": 0}
+
+
 def test_replies_reach_over_block_edges(spark):
     r = random.Random(4)
     rows = [(i, p, float(r.randint(0, 300_000)), "x", r.choices([IN, OUT], [1, k])[0], f"text {i}", "z") for k, p in ((1, "a"), (30, "b")) for i in range(k * 1000, k * 1000 + 150)]

@@ -23,4 +23,4 @@ def test_query(spark, name):
             c.execute(f"create view {f.split('.')[0]} as select * from '{DATA}/{f}'")
         want = c.execute(SQL[name])
         columns = [d[0] for d in want.description]
-        assert sorted(tuple(r[k] for k in columns) for r in got) == sorted(want.fetchall())
+        assert sorted(repr(tuple(r[k] for k in columns)) for r in got) == sorted(repr(x) for x in want.fetchall())
