@@ -2,6 +2,7 @@ import itertools
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +24,15 @@ def test_boundaries_are_optimal():
         best = min(cost(set(c) | {lengths[-1]}) for k in range(3) for c in itertools.combinations(lengths, k))
         assert len(got) <= 3 and cost(got) == best
     assert packing.boundaries({}, 40) == []
+    # every length up to a large capacity, against the plain recurrence
+    h = {x: r.randint(0, 50) for x in range(1, 4097, 7)} | {4096: 3}
+    got, lengths = packing.boundaries(h, 4096, buckets=20), [x for x in sorted(h) if h[x]]
+    n, t = np.cumsum([0] + [h[x] for x in lengths]), np.cumsum([0] + [h[x] * x for x in lengths])
+    cost = np.array([[lengths[j - 1] * (n[j] - n[i]) - (t[j] - t[i]) if i < j else np.inf for j in range(len(lengths) + 1)] for i in range(len(lengths) + 1)])
+    best = cost[0].copy()
+    for _ in range(19):
+        best = np.minimum(best, (best[:, None] + cost).min(axis=0))
+    assert len(got) <= 20 and sum(k * (min(c for c in got if c >= x) - x) for x, k in h.items() if k) == best[-1]
 
 
 def test_plans_hold_everything_and_overflow_nothing():
@@ -31,7 +41,8 @@ def test_plans_hold_everything_and_overflow_nothing():
         widths = sorted(r.sample(range(1, 101), 6))
         counts = [r.randint(0, 500) for _ in widths]
         put = [0] * 6
-        for alike, fill in packing.plan(counts, widths, 100):
+        for alike, fill in packing.plan(counts, widths, 100, fill_rest := r.random() < 0.5):
+            assert fill_rest or len(fill) == 1
             assert alike > 0 and sum(t * widths[b] for b, t in fill) <= 100
             for b, t in fill:
                 put[b] += alike * t
@@ -45,6 +56,7 @@ def test_packing(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5).withColumn("tokens", F.lit("clash"))
     caps = {1: 64, 2: 256, 3: 100_000}
     rows = packing.pack(df, caps).collect()
+    assert {x["doc_id"] for x in packing.pack(df, caps, fill_rest=False).collect()} == {x["doc_id"] for x in rows}
     tokens = {x["doc_id"]: x["tokens"] for x in packing.count_tokens(df).collect()}
     assert tokens[300] == tokens[301] == 0 and tokens[302] > 1
     for k, c in caps.items():
