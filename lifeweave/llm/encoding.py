@@ -6,15 +6,18 @@ candidate originals. The E step gives each candidate its posterior; the M step t
 chain probabilities of each source from the posteriors of all records. Weak evidence in one record thus leans on what its
 source and the language of all records show. Each record is then repaired by its posterior.
 
-Distribution. Equal texts are counted first. Each step is one pass that ends in sums over the alphabet (character pairs)
-or over sources (rounded likelihoods): what reaches the driver is bounded by the alphabet and the sources, not by rows.
+Distribution. Equal texts are counted first. Each step is one pass that ends in sums over the alphabet (character pairs).
+Rounded likelihoods of equal shape are counted too; while they are few (SHAPES) the chain probabilities are worked out from
+them on the driver, else in tasks that send sums by source and chain. So what reaches the driver is bounded by the alphabet,
+the sources and SHAPES, not by rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -23,6 +26,11 @@ from pyspark.sql import functions as F
 
 from lifeweave.session import checkpoint
 
+#: Distinct (source, rounded likelihoods) that the driver takes; more are summed in tasks.
+SHAPES = 200_000
+#: The chain probabilities are settled when none moves by more than this.
+SETTLED = 1e-4
+
 IDENTITY = "none"
 # Encodings for which UTF-8 is mistaken, and (true, assumed) pairs of single-byte encodings.
 UTF8_AS = ["latin-1", "cp1252", "mac_roman", "cp1251", "cp850", "cp437", "cp1250", "koi8_r"]
@@ -94,9 +102,14 @@ WILD = {k: chr(0xE001 + i) for i, k in enumerate(_LOST_CLASSES)}
 _WILD_CLASS = {WILD[k]: v for k, v in _LOST_CLASSES.items()}
 
 
+_STANDS_FOR = {name: chr(0xF0000 + i) for i, name in enumerate(sorted(_WHOLE))}
+_WILD_CLASS |= {c: name for name, c in _STANDS_FOR.items()}
+_LOST_SYMBOLS = set(WILD.values())
+
+
 @lru_cache(maxsize=65_536)
 def symbol(c: str) -> tuple[str, str]:
-    """(symbol, class) of a character: ASCII letters and digits by kind, large scripts as one symbol."""
+    """(symbol, class) of a character: ASCII letters and digits by kind, large scripts as one symbol (of the private plane)."""
     if c in _WILD_CLASS:
         return c, _WILD_CLASS[c]
     if c < "\x80":
@@ -105,13 +118,24 @@ def symbol(c: str) -> tuple[str, str]:
     name = next(n for low, n in reversed(_BLOCKS) if ord(c) >= low)
     if name in ("latin-1", "latin extended", "cyrillic", "greek"):
         name += " upper" if c.isupper() else " lower"
-    return (name if name in _WHOLE else c), name
+    return _STANDS_FOR.get(name, c), name
+
+
+class _Symbols(dict):
+    """Code point to symbol, for str.translate; worked out once for each character."""
 
+    def __missing__(self, code: int) -> str:
+        value = self[code] = symbol(chr(code))[0]
+        return value
 
-def pairs(text: str) -> list[tuple[str, str]]:
+
+_SYMBOLS = _Symbols()
+
+
+def pairs(text: str) -> Iterator[tuple[str, str]]:
     """Neighbouring symbols, with ends."""
-    s = ["^", *[symbol(c)[0] for c in text], "$"]
-    return list(zip(s, s[1:]))
+    s = f"^{text.translate(_SYMBOLS)}$"
+    return zip(s, s[1:])
 
 
 class Characters:
@@ -130,28 +154,34 @@ class Characters:
             kp, kc = self._class(p), self._class(c)
             for d, k in ((self.first, p), (self.single, c), (self.classes, (kp, kc)), (self.class_first, kp), (self.class_size, kc)):
                 d[k] = d.get(k, 0.0) + n
-        self.known: dict[tuple[str, str], float] = {}
+        self.known = _Steps(self.step)
 
     @staticmethod
     def _class(s: str) -> str:
-        return symbol(s)[1] if len(s) == 1 and s not in "^$" else s
+        return symbol(s)[1] if s not in "^$" else s
 
     def step(self, p: str, c: str) -> float:
-        got = self.known.get((p, c))
-        if got is None:
-            kp, kc = self._class(p), self._class(c)
-            by_class = (self.classes.get((kp, kc), 0.0) + self.FLOOR) / (self.class_first.get(kp, 0.0) + 40 * self.FLOOR)
-            within = 1.0 if c in _WILD_CLASS else (self.single.get(c, 0.0) + self.FLOOR) / (self.class_size.get(kc, 0.0) + 100 * self.FLOOR)
-            if p in _WILD_CLASS or c in _WILD_CLASS:
-                got = math.log(by_class * within)
-            else:
-                got = math.log((self.pair.get((p, c), 0.0) + self.BACKOFF * by_class * within) / (self.first.get(p, 0.0) + self.BACKOFF))
-            self.known[(p, c)] = got
-        return got
+        kp, kc = self._class(p), self._class(c)
+        by_class = (self.classes.get((kp, kc), 0.0) + self.FLOOR) / (self.class_first.get(kp, 0.0) + 40 * self.FLOOR)
+        within = 1.0 if c in _LOST_SYMBOLS else (self.single.get(c, 0.0) + self.FLOOR) / (self.class_size.get(kc, 0.0) + 100 * self.FLOOR)
+        if p in _LOST_SYMBOLS or c in _LOST_SYMBOLS:
+            return math.log(by_class * within)
+        return math.log((self.pair.get((p, c), 0.0) + self.BACKOFF * by_class * within) / (self.first.get(p, 0.0) + self.BACKOFF))
 
     def log_probability(self, text: str) -> float:
-        step = self.step
-        return sum(step(p, c) for p, c in pairs(text))
+        return sum(map(self.known.__getitem__, pairs(text)))
+
+
+class _Steps(dict):
+    """Log probabilities of pairs, worked out once for each."""
+
+    def __init__(self, of):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, pair: tuple[str, str]) -> float:
+        value = self[pair] = self.of(*pair)
+        return value
 
 
 _LEFT = re.compile("Ã|[ÄÅÈ]|[ÐÑ]|â[\xa0-\xbf]?|ð[\xa0-\xbf]{0,3}|[ãåæçèéä](?=[¡-¿])[¡-¿]{1,2}")
@@ -216,8 +246,8 @@ def _sum_pairs(texts: DataFrame, weigh) -> dict[tuple[str, str], float]:
                 for y, w in weigh(text, group):
                     w *= n
                     if w > 1e-6:
-                        for pair in pairs(y):
-                            total[pair] = total.get(pair, 0.0) + w
+                        for pair, k in Counter(pairs(y)).items():
+                            total[pair] = total.get(pair, 0.0) + w * k
         if total:
             yield pd.DataFrame({"p": [p for p, _ in total], "c": [c for _, c in total], "w": list(total.values())})
 
@@ -225,7 +255,23 @@ def _sum_pairs(texts: DataFrame, weigh) -> dict[tuple[str, str], float]:
     return {(r["p"], r["c"]): r["w"] for r in rows}
 
 
-def _priors(texts: DataFrame, model: Characters, rounds: int) -> dict[str, dict[str, float]]:
+def _options(shape: str) -> list[tuple[str, int]]:
+    return [(_CHAINS[int(i)], int(v)) for i, _, v in (x.partition(":") for x in shape.split(";") if x)]
+
+
+def _expected(rows: Iterable[tuple[str, str, float]], priors: dict[str, dict[str, float]]) -> dict[tuple[str, str], float]:
+    """E step: how many records of each group each chain is expected to explain. ``rows``: group, shape, records."""
+    seen: dict[tuple[str, str], float] = {}
+    for group, shape, n in rows:
+        prior = priors.get(group, _START)
+        weights = [(IDENTITY, prior[IDENTITY])] + [(c, prior[c] * math.exp(v)) for c, v in _options(shape)]
+        total = sum(w for _, w in weights)
+        for c, w in weights:
+            seen[(group, c)] = seen.get((group, c), 0.0) + n * w / total
+    return seen
+
+
+def _priors(texts: DataFrame, model: Characters, rounds: int, most: int = SHAPES) -> dict[str, dict[str, float]]:
     """Chain probabilities of each group, by EM over the likelihoods of all records, rounded to whole nats and counted."""
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,24 +285,31 @@ def _priors(texts: DataFrame, model: Characters, rounds: int) -> dict[str, dict[
         if total:
             yield pd.DataFrame({"grp": [g for g, _ in total], "shape": [s for _, s in total], "n": list(total.values())})
 
-    rows = texts.mapInPandas(rate, "grp string, shape string, n double").groupBy("grp", "shape").agg(F.sum("n").alias("n")).collect()
+    shapes = checkpoint(texts.mapInPandas(rate, "grp string, shape string, n double").groupBy("grp", "shape").agg(F.sum("n").alias("n")))
+    few = shapes.limit(most + 1).collect()
+    rows = [tuple(r) for r in few] if len(few) <= most else None
     out: dict[str, dict[str, float]] = {}
-    by: dict[str, list] = {}
-    for r in rows:
-        options = [(_CHAINS[int(i)], int(v)) for i, _, v in (x.partition(":") for x in r["shape"].split(";") if x)]
-        by.setdefault(r["grp"], []).append((options, r["n"]))
-    for group, records in by.items():
-        prior = dict(_START)
-        for _ in range(rounds):
-            seen = dict.fromkeys(_CHAINS, 0.1)
-            for options, n in records:
-                weights = [(IDENTITY, prior[IDENTITY])] + [(c, prior[c] * math.exp(v)) for c, v in options]
-                total = sum(w for _, w in weights)
-                for c, w in weights:
-                    seen[c] += n * w / total
-            size = sum(seen.values())
-            prior = {c: v / size for c, v in seen.items()}
-        out[group] = prior
+    for _ in range(rounds):
+        if rows is not None:
+            seen = _expected(rows, out)
+        else:
+
+            def partly(batches: Iterator[pd.DataFrame], priors: dict = out) -> Iterator[pd.DataFrame]:
+                for pdf in batches:
+                    sums = _expected(zip(pdf["grp"], pdf["shape"], pdf["n"]), priors)
+                    yield pd.DataFrame({"grp": [g for g, _ in sums], "chain": [c for _, c in sums], "n": list(sums.values())})
+
+            sums = shapes.mapInPandas(partly, "grp string, chain string, n double").groupBy("grp", "chain").agg(F.sum("n").alias("n"))
+            seen = {(r["grp"], r["chain"]): r["n"] for r in sums.collect()}
+        new: dict[str, dict[str, float]] = {}
+        for group in {g for g, _ in seen}:
+            counts = {c: 0.1 + seen.get((group, c), 0.0) for c in _CHAINS}
+            size = sum(counts.values())
+            new[group] = {c: v / size for c, v in counts.items()}
+        moved = max((abs(p - out.get(g, _START)[c]) for g, prior in new.items() for c, p in prior.items()), default=0.0)
+        out = new
+        if moved < SETTLED:
+            break
     return out
 
 
