@@ -42,16 +42,47 @@ def _world(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixes(spark, sf_dir).select("person", "t", world_x("lon").alias("mx"), world_y("lat").alias("my"))
 
 
+def _motion(spark: SparkSession, sf_dir: str, track: DataFrame) -> DataFrame:
+    return ops.motion(frame_anchors(spark, sf_dir), frame_segments(spark, sf_dir), track, "person")
+
+
+def _photo_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The track that a person's photos draw; it stands for a second person's."""
+    return photos(spark, sf_dir).where("lat IS NOT NULL").select("person", F.col("ts").alias("t"), world_x("lon").alias("mx"), world_y("lat").alias("my"))
+
+
+def _track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A person's fixes and the places of their photos in one track."""
+    return _world(spark, sf_dir).unionByName(_photo_world(spark, sf_dir))
+
+
 def frame_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clock and position of every frame between the first and last keyframe."""
-    out = ops.motion(frame_anchors(spark, sf_dir), _world(spark, sf_dir), "person")
+    """Clock and position of every frame."""
+    out = _motion(spark, sf_dir, _track(spark, sf_dir))
     return out.select("person", "frame", F.round("tau", 3).alias("tau"), F.round("mx", 9).alias("mx"), F.round("my", 9).alias("my"))
 
 
+def _camera(spark: SparkSession, sf_dir: str, moves: DataFrame, dots: list[tuple[str, str]]) -> DataFrame:
+    frames = ops.film_frames(frame_segments(spark, sf_dir), "person").join(moves, ["person", "frame"], "left")
+    cam = ops.camera(frames, "person", dots, FPS, HOLD + TRANS)
+    return cam.select("person", "frame", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), F.round("zoom", 3).alias("zoom"), F.round("visible", 3).alias("visible"))
+
+
 def film_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The camera that follows each film's dot, on every frame."""
-    cam = ops.follow_camera(ops.motion(frame_anchors(spark, sf_dir), _world(spark, sf_dir), "person"), frame_segments(spark, sf_dir), "person", FPS, HOLD + TRANS)
-    return cam.select("person", "frame", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), F.round("zoom", 3).alias("zoom"), F.round("visible", 3).alias("visible"))
+    return _camera(spark, sf_dir, _motion(spark, sf_dir, _track(spark, sf_dir)), [("mx", "my")])
+
+
+def joint_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The camera of a film for two, which keeps both dots in view; the second is that of the photos' own track."""
+    other = _motion(spark, sf_dir, _photo_world(spark, sf_dir)).select("person", "frame", F.col("mx").alias("nx"), F.col("my").alias("ny"))
+    return _camera(spark, sf_dir, _motion(spark, sf_dir, _track(spark, sf_dir)).join(other, ["person", "frame"], "full"), [("mx", "my"), ("nx", "ny")])
+
+
+def merge_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a film for two shows one map or two; here clips count as together."""
+    modes = _slots(spark, sf_dir).select("person", "slot", (F.col("media") == "video").alias("together"))
+    return ops.merge_curve(frame_segments(spark, sf_dir), modes, "person", FPS).select("person", "frame", F.round("merge", 6).alias("merge"))
 
 
 def film_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +197,7 @@ def scale_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (frame_segments, frame_anchors, frame_motion, film_camera, film_summary, frame_lookup, chunk_bounds, mosaic_layout, contact_sheet, sliding_bbox, smooth_track, visibility, trail, frame_tiles, best_window, prune_cache, scale_bar)
+    for f in (frame_segments, frame_anchors, frame_motion, film_camera, joint_camera, merge_curve, film_summary, frame_lookup, chunk_bounds, mosaic_layout, contact_sheet, sliding_bbox, smooth_track, visibility, trail, frame_tiles, best_window, prune_cache, scale_bar)
 }
 _K = ops.kernel(2.0)
 
@@ -183,6 +214,10 @@ SQL: dict[str, str] = {
     "frame_segments": f"WITH {_SQL_SLOTS} SELECT * FROM seg",
     "frame_anchors": f"""WITH {_SQL_SLOTS}, h AS (SELECT s.person, f0, f1, ts, hold, media FROM seg s JOIN slots USING (person, slot) WHERE kind = 'hold')
       SELECT person, f0 AS frame, ts AS t, true AS video FROM h WHERE media = 'video' UNION ALL SELECT person, greatest(f0, f1 - 1), ts + hold, false FROM h WHERE media = 'video' UNION ALL SELECT person, (f0 + f1) // 2, ts, false FROM h WHERE media <> 'video'""",
+    "merge_curve": f"""WITH {_SQL_SLOTS}, f AS (SELECT person, CAST(k AS BIGINT) AS frame, CASE WHEN kind = 'intro' THEN 0 WHEN kind = 'trans' AND k >= (f0 + f1) // 2 THEN slot + 1 ELSE slot END AS slot FROM seg, generate_series(f0, f1 - 1) g(k)),
+      o AS (SELECT person, frame, CAST(media = 'video' AS DOUBLE) AS one, row_number() OVER w AS i, count(*) OVER (PARTITION BY person) AS n FROM f JOIN slots USING (person, slot) WINDOW w AS (PARTITION BY person ORDER BY frame)),
+      m AS (SELECT person, frame, (sum(one) OVER b + greatest(3 - i, 0) * first_value(one) OVER a + greatest(i + 2 - n, 0) * last_value(one) OVER a) / 5 AS x FROM o WINDOW a AS (PARTITION BY person ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), b AS (PARTITION BY person ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+      SELECT person, frame, round(x * x * (3 - 2 * x), 6) AS merge FROM m""",
     "film_summary": f"WITH {_SQL_SLOTS} SELECT person, count(*) FILTER (media <> 'video') AS photos, count(*) FILTER (media = 'video') AS clips, CAST(min(year(make_timestamp(CAST(floor(ts) * 1000000 AS BIGINT)))) AS BIGINT) AS first_year, CAST(max(year(make_timestamp(CAST(floor(ts) * 1000000 AS BIGINT)))) AS BIGINT) AS last_year, round(CAST({INTRO + OUTRO} + sum(CAST(hold AS DOUBLE)) + (count(*) - 1) * {TRANS} AS DOUBLE), 3) AS seconds FROM slots GROUP BY person",
     "frame_lookup": f"WITH {_SQL_SLOTS} SELECT person, CAST(k AS BIGINT) AS frame, kind, slot FROM seg, generate_series(f0, f1 - 1) g(k)",
     "chunk_bounds": f"""WITH {_SQL_SLOTS}, film AS (SELECT person, max(f1) AS n FROM seg GROUP BY person), goal AS (SELECT person, n, w, floor(n * w / 8) AS goal FROM film, generate_series(1, 7) g(w)),

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lifeweave.functions import media
 from lifeweave.functions.geo import world_x, world_y
 from lifeweave.operators import pair
 from lifeweave.plans.common import SQL_FIX, SQL_PHOTO, fixes, photos, sql_haversine
@@ -89,19 +90,40 @@ fold AS (SELECT person, n, photo_id, mode FROM ahead WHERE n = 1
 SELECT photo_id, mode FROM fold"""
 
 
-def spread_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chosen photos packed into spreads; the two sides are the person's favorites and other photos, with alternating
-    shapes. The selection bounds each person's plan, which is folded in order."""
+def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen photos of a film for two. The sides are the person's other photos and favorites; shapes follow from ids, as
+    the tables hold none."""
     chosen = diverse_pick(spark, sf_dir).select("photo_id")
     items = _items(spark, sf_dir).join(display_modes(spark, sf_dir), "photo_id").join(chosen, "photo_id", "left_semi")
-    rows = items.groupBy("person").agg(F.array_sort(F.collect_list(F.struct("ts", "photo_id", F.col("favorite").cast("int").alias("side"), "mode"))).alias("rows"))
+    return items.select("person", "ts", "photo_id", F.col("favorite").cast("int").alias("side"), "mode", F.when(F.col("photo_id") % 3 == 0, 0.75).otherwise(1.5).alias("aspect"))
+
+
+def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of every person's photos fit a row that begins with each, and whether two of a side fit side by side."""
+    items = _items(spark, sf_dir).select("person", "ts", "photo_id", F.col("favorite").cast("int").alias("side"), F.when(F.floor(F.col("ts") / 86_400) % 2 == 0, "together").otherwise("apart").alias("mode"), F.when(F.col("photo_id") % 3 == 0, 0.75).when(F.col("photo_id") % 3 == 1, 1.0).otherwise(1.5).alias("aspect"))
+    return pair.row_counts(items, "person").select("photo_id", F.col("run").cast("bigint").alias("run"), "row", "pair")
+
+
+#: Screens of ``pair_screens``.
+SCREENS = [(1920, 1080), (1280, 720), (3840, 2160), (1080, 1920), (854, 480)]
+
+
+def pair_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of the screen for two at several sizes."""
+    sizes = spark.createDataFrame(SCREENS, "width int, height int")
+    areas = F.explode(F.array(*[F.struct(F.lit(n).alias("area"), media.pair_area(n, "width", "height").alias("r")) for n in media.PAIR_AREAS]))
+    return sizes.select("width", "height", areas.alias("a")).select("width", "height", "a.area", "a.r.*")
+
+
+def spread_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen photos packed into spreads. The selection bounds each person's plan, which is folded in order."""
+    rows = pair.row_counts(_shown(spark, sf_dir), "person").groupBy("person").agg(F.array_sort(F.collect_list(F.struct("ts", "photo_id", "side", "mode", "row", "pair"))).alias("rows"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for person, found in zip(pdf["person"], pdf["rows"]):
-                shown = [(r["photo_id"], r["side"], r["mode"], 0.75 if r["photo_id"] % 3 == 0 else 1.5) for r in found]
-                out += [(person, *s) for s in pair.spreads(shown)]
+                out += [(person, *s) for s in pair.spreads([(r["photo_id"], r["side"], r["mode"], r["row"], r["pair"]) for r in found])]
             yield pd.DataFrame(out, columns=["person", "spread", "mode", "side", "photo_id"])
 
     return rows.mapInPandas(pack, "person string, spread bigint, mode string, side string, photo_id bigint")
@@ -128,9 +150,19 @@ def distance_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (data_span, copresence_grid, copresence_daily, pair_stats, first_together, reunions, display_modes, spread_packing, chapter_marks, distance_strip)
+    f.__name__: f for f in (data_span, copresence_grid, copresence_daily, pair_stats, first_together, reunions, display_modes, pair_screens, row_counts, spread_packing, chapter_marks, distance_strip)
 }
 _W = f"WITH {_SQL_GRID}"
+
+
+def _sql_score(aspects: list[str], w: int, h: int, gap: int) -> str:
+    n, total = len(aspects), " + ".join(aspects)
+    tall = f"least({h}.0, ({w} - {gap * (n - 1)}) / greatest({total}, 1e-6))"
+    return f"(({' + '.join(f'round_even({a} * {tall}, 0)' for a in aspects)}) * round_even({tall}, 0) / {w * h} + {0.08 * n!r})"
+
+
+#: Areas of photos at 1920 by 1080: width together, width of a side, height.
+_ROW, _SIDE, _TALL, _GAP = 1872, 929, 589, 14
 _REUNION = "tg AS (SELECT person, day, day - lag(day) OVER (PARTITION BY person ORDER BY day) AS days FROM days WHERE together >= 6), re AS (SELECT * FROM tg WHERE days > 1)"
 SQL: dict[str, str] = {
     "data_span": f"WITH {SQL_FIX}, {SQL_PHOTO}, u AS (SELECT person, t FROM fix UNION ALL SELECT person, ts FROM photo) SELECT person, round(quantile_cont(t, 0.005), 2) AS first, round(quantile_cont(t, 0.995), 2) AS last FROM u GROUP BY person",
@@ -142,6 +174,14 @@ SQL: dict[str, str] = {
       SELECT person, days_both, furthest_km, coalesce(days_together, 0) AS days_together, coalesce(longest_apart, 0) AS longest_apart, coalesce(km_together, 0) AS km_together FROM a LEFT JOIN t USING (person)""",
     "first_together": f"{_W}, g AS (SELECT person, day, count(*) OVER (PARTITION BY person ORDER BY day RANGE BETWEEN CURRENT ROW AND 29 FOLLOWING) AS n FROM days WHERE together >= 12) SELECT person, min(day) AS day FROM g WHERE n >= 3 GROUP BY person",
     "reunions": f"{_W}, {_REUNION} SELECT person, day, days FROM re",
+    "pair_screens": f"""WITH s AS (SELECT *, CAST(floor(24 * (height / 1080)) AS INT) AS m, CAST(floor(14 * (height / 1080)) AS INT) AS g, CAST(floor(46 * (height / 1080)) AS INT) AS strip, CAST(floor(floor(height * 0.36) / 2) AS INT) * 2 AS band FROM (VALUES {", ".join(map(str, SCREENS))}) v(width, height)),
+      d AS (SELECT *, (width - 2 * m - g) // 2 AS half, height - strip - band - g // 2 AS top FROM s), r AS (SELECT *, 'photos' AS kind, m AS y, top - g - m AS h FROM d UNION ALL SELECT *, 'maps', top, band FROM d)
+      SELECT width, height, kind || '_' || place AS area, CASE WHEN place = 'right' THEN width - m - half ELSE m END AS x, y, CASE WHEN place = 'together' THEN width - 2 * m ELSE half END AS w, h FROM r, (VALUES ('together'), ('left'), ('right')) p(place)""",
+    "row_counts": f"""WITH {SQL_PHOTO}, i AS (SELECT person, ts, photo_id, CAST(favorite AS INT) AS side, CASE WHEN CAST(floor(ts / 86400) AS BIGINT) % 2 = 0 THEN 'together' ELSE 'apart' END AS mode, CASE photo_id % 3 WHEN 0 THEN 0.75 WHEN 1 THEN 1.0 ELSE 1.5 END::DOUBLE AS a FROM photo),
+      c AS (SELECT *, CASE WHEN mode = lag(mode) OVER w THEN 0 ELSE 1 END AS fresh FROM i WINDOW w AS (PARTITION BY person ORDER BY ts, photo_id)), r AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY person ORDER BY ts, photo_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM c),
+      n AS (SELECT *, lead(a) OVER w AS b, lead(a, 2) OVER w AS c, lead(a) OVER (PARTITION BY person, run, side ORDER BY ts, photo_id) AS s FROM r WINDOW w AS (PARTITION BY person, run ORDER BY ts, photo_id)),
+      e AS (SELECT *, {_sql_score(["a"], _ROW, _TALL, _GAP)} AS one, {_sql_score(["a", "b"], _ROW, _TALL, _GAP)} AS two, {_sql_score(["a", "b", "c"], _ROW, _TALL, _GAP)} AS three, {_sql_score(["a"], _SIDE, _TALL, _GAP)} AS alone, {_sql_score(["a", "s"], _SIDE, _TALL, _GAP)} AS side_by_side FROM n)
+      SELECT photo_id, run, CASE WHEN two > one AND three > two AND three > one AND c IS NOT NULL THEN 3 WHEN two > one AND b IS NOT NULL THEN 2 ELSE 1 END AS row, s IS NOT NULL AND side_by_side > alone AS pair FROM e""",
     "display_modes": f"{_W.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_SQL_MODES}",
     "chapter_marks": f"""{_W}, {_REUNION}, cl AS (SELECT r.person, r.day, r.days, arg_min(p.photo_id, struct_pack(a := p.ts, b := p.photo_id)) AS photo_id FROM re r JOIN photo p ON p.person = r.person AND p.ts >= r.day * 86400.0 - 86400 GROUP BY ALL)
       SELECT person, photo_id, 'Together again, after ' || arg_min(days, day) || ' days apart' AS chapter FROM cl GROUP BY person, photo_id""",

@@ -130,10 +130,16 @@ def test_sidecars(spark):
 
 def test_modes_layout_and_spreads():
     assert pair.smooth(list("abaab")) == list("aaaab") and pair.smooth(list("ababa")) == list("aaaaa") and pair.smooth(["a"]) == ["a"]
-    assert sum(w for _, _, w, _ in pair.row_layout([1.5, 0.75], 1000, 400, 10)) <= 990
-    assert pair.best_count([1.5, 1.5, 1.5], 1920, 720, 12, 3) >= 2 and pair.best_count([1.5], 1920, 720, 12, 3) == 1
-    out = pair.spreads([(1, 0, "apart", 1.5), (2, 0, "apart", 1.5), (3, 1, "apart", 1.5), (4, 0, "apart", 1.5), (5, 1, "together", 1.5)])
-    assert out[0] == (0, "apart", "left", 1) and {x[3] for x in out} == {1, 2, 3, 4, 5} and [x[0] for x in out] == sorted(x[0] for x in out)
+    out = pair.spreads([(1, 0, "apart", 1, True), (2, 0, "apart", 1, True), (3, 1, "apart", 1, False), (4, 0, "apart", 1, False), (5, 1, "together", 1, False)])
+    assert out == [(0, "apart", "left", 1), (0, "apart", "left", 2), (0, "apart", "right", 3), (1, "apart", "left", 4), (1, "apart", "right again", 3), (2, "together", "row", 5)]
+    rows = [(i, 0, "together", k, False) for i, k in enumerate((3, 1, 1, 2, 2, 1, 1))]
+    assert [n for n, *_ in pair.spreads(rows)] == [0, 0, 0, 1, 1, 2, 3] and pair.spreads([]) == []
+
+
+def test_rows_that_fit(spark):
+    data = [("a", float(i), i, 0, "together" if i < 5 else "apart", a) for i, a in enumerate([0.75, 0.75, 0.75, 3.0, 3.0, 0.75, 0.75, 1.5, 3.0])]
+    got = {x["photo_id"]: x for x in pair.row_counts(spark.createDataFrame(data, "k string, ts double, photo_id long, side int, mode string, aspect double"), "k").collect()}
+    assert [got[i]["row"] for i in range(5)] == [3, 3, 2, 1, 1] and [got[i]["pair"] for i in range(5, 9)] == [True, True, False, False]
 
 
 def test_first_together_and_reunions(spark):
@@ -145,14 +151,25 @@ def test_first_together_and_reunions(spark):
 
 
 def test_motion(spark):
-    import numpy as np
-
-    tau, x, y = frames.hop(0, 10, 0.0, 100.0, (0.0, 0.0), (1.0, 0.0), [(50.0, 0.5, 0.0)])
-    assert (np.diff(tau) >= 0).all() and (np.diff(x) >= 0).all() and x[0] == 0 and (y == 0).all()
-    _, x, _ = frames.hop(0, 4, 0.0, 1.0, None, (1.0, 0.0), [])
-    assert np.isnan(x[:2]).all() and (x[2:] == 1).all()
-    _, x, _ = frames.hop(0, 4, 0.0, 1.0, (0.5, 0.0), (0.5, 0.0), [])
-    assert (x == 0.5).all()
+    segs = spark.createDataFrame([("a", "intro", -1, 0, 5), ("a", "hold", 0, 5, 15), ("a", "trans", 0, 15, 35), ("a", "hold", 1, 35, 45), ("a", "outro", 1, 45, 50), ("b", "hold", 0, 0, 4)], "k string, kind string, slot long, f0 long, f1 long")
+    keys = spark.createDataFrame([("a", 10, 0.0, False), ("a", 20, 3600.0, True), ("a", 30, 7200.0, False), ("a", 40, 4e6, False), ("b", 2, 9e9, False)], "k string, frame long, t double, video boolean")
+    track = spark.createDataFrame([("a", 0.0, 0.0, 0.0), ("a", 900.0, 0.3, 0.0), ("a", 1800.0, 0.3, 0.1), ("a", 3600.0, 0.4, 0.1), ("a", 5400.0, 0.5, 0.2), ("a", 7200.0, 0.7, 0.2)], "k string, t double, mx double, my double")
+    got = {(x["k"], x["frame"]): x for x in frames.motion(keys, segs, track, "k").collect()}
+    assert sorted(got) == [("a", f) for f in range(50)] + [("b", f) for f in range(4)]
+    a = [got[("a", f)] for f in range(50)]
+    assert all((x["tau"], x["mx"], x["my"]) == (0.0, 0.0, 0.0) for x in a[:11]) and all(x["tau"] == 4e6 and x["mx"] is None for x in a[40:])
+    # eased along 0.3 + 0.1 + 0.1 of the way
+    for f in range(10, 20):
+        u = (f - 10) / 10
+        way = u * u * (3 - 2 * u) * 0.5
+        x, y = (way, 0.0) if way <= 0.3 else (0.3, way - 0.3) if way <= 0.4 else (way - 0.1, 0.1)
+        t = way / 0.3 * 900 if way <= 0.3 else 900 + (way - 0.3) / 0.1 * 900 if way <= 0.4 else 1800 + (way - 0.4) / 0.1 * 1800
+        assert (a[f]["mx"], a[f]["my"], a[f]["tau"]) == (pytest.approx(x), pytest.approx(y), pytest.approx(t))
+    # in the clip real time, and the dot where the track has it
+    assert [x["tau"] for x in a[20:30]] == [pytest.approx(3600 + 360 * i) for i in range(10)] and a[25]["mx"] == pytest.approx(0.5) and a[22]["mx"] == pytest.approx(0.44)
+    # the next place is unknown: half of the frames at the last one
+    assert all(x["mx"] == pytest.approx(0.7) for x in a[30:35]) and all(x["mx"] is None for x in a[35:])
+    assert all(got[("b", f)]["mx"] is None for f in range(4)) and frames.motion(keys.limit(0), segs, track, "k").collect() == []
     k = frames.kernel(2.0)
     assert len(k) == 13 and sum(k) == pytest.approx(1)
 
@@ -189,24 +206,68 @@ def test_media_functions(spark):
     assert a == pytest.approx(1.2 * np.log1p(400) / 6 + 0.8 + 0.5) and b == pytest.approx(a - 0.3 - 3 - 3)
     assert one.select(media.clip_usable(F.lit(2 << 30), F.lit(False), F.lit(5.0)), media.clip_usable(F.lit(2 << 30), F.lit(True), F.lit(5.0)), media.clip_usable(F.lit(1), F.lit(True), F.lit(1.9)), media.even(F.lit(5.1))).first()[:] == (False, True, False, 6)
     assert media.max_videos(0.15, 120) == 18
-    r = media.PairScreen(1920, 1080).rectangles()
-    assert r["photos_left"][2] == r["map_right"][2] and r["map_together"][1] + r["map_together"][3] <= 1080
+    r = {n: tuple(one.select(media.pair_area(n, F.lit(1920), F.lit(1080)).alias("r")).first()["r"]) for n in media.PAIR_AREAS}
+    assert r["photos_together"] == (24, 24, 1872, 589) and r["maps_right"] == (967, 627, 929, 400) == (1920 - 24 - 929, *r["maps_left"][1:])
     line = np.array([[0.0, 0.0], [10.0, 0.0], [500.0, 0.0]])
     assert (media.offset_line(line, 3.0)[:, 1] == 3).all() and len(media.with_arcs(line, 100.0)) == 25 and media.with_arcs(line, 100.0)[:, 1].min() < -10
 
 
-def test_camera():
-    import numpy as np
+def plain_camera(on, dots, fps, period, width, height):
+    """The camera by plain loops over the frames of one film."""
+    import math
 
-    n = 300
-    dot = np.full((n, 2), 0.5)
-    dot[100:200, 0] = np.linspace(0.5, 0.7, 100)
-    dot[200:, 0] = 0.7
-    shown = np.ones(n, bool)
-    shown[:10] = False
-    cam, vis = frames.follow(shown, [dot], 10, 3.2, 960, 540)
-    assert not np.isnan(cam).any() and vis[:10].max() == 0 and vis[50] == 1
-    assert cam[150, 2] < cam[20, 2] - 1 and np.abs(np.diff(cam[:, 2])).max() < 1.0
-    half = 960 / (256 * 2 ** cam[:, 2]) / 2
-    assert (np.abs(dot[10:, 0] - cam[10:, 0]) <= half[10:]).all()
-    assert np.isnan(frames.follow(np.zeros(5, bool), [np.full((5, 2), np.nan)], 10, 3.2, 9, 9)[0]).all()
+    n = len(on)
+    seen = [on[f] and any(d[f] is not None for d in dots) for f in range(n)]
+    r, s = max(2, int(0.5 * period * fps)), max(2.0, min(0.5 * fps, 0.4 * period * fps))
+    views = {}
+    even = lambda v, k: [sum(w * v[min(max(i + j - len(k) // 2, 0), len(v) - 1)] for j, w in enumerate(k)) for i in range(len(v))]
+    f = 0
+    while f < n:
+        e = f
+        while e < n and seen[e] == seen[f]:
+            e += 1
+        if seen[f]:
+            part = range(f, e)
+            box = [[[d[g][i] for d in dots for g in range(max(0, h - r), min(n, h + r + 1)) if d[g] is not None] for i in (0, 1)] for h in part]
+            c = [even([(min(b[i]) + max(b[i])) / 2 for b in box], frames.kernel(s)) for i in (0, 1)]
+            half = [[math.exp(x) / 2 for x in even([math.log(max(max(b[i]) - min(b[i]), 1.3e-4)) for b in box], frames.kernel(2 * s))] for i in (0, 1)]
+            need = [math.log(max([1.0] + [abs(d[g][i] - c[i][g - f]) / (0.8 * half[i][g - f]) for d in dots if d[g] is not None for i in (0, 1)])) for g in part]
+            most = [max(need[max(0, i - int(2 * s)) : i + int(2 * s) + 1]) for i in range(len(need))]
+            grow = [math.exp(max(a, b)) for a, b in zip(even(most, frames.kernel(s)), need)]
+            for i, g in enumerate(part):
+                zoom = min(math.log2(px / 256 / max(2 * half[k][i] * grow[i] * 1.35, 1e-9)) for k, px in ((0, width), (1, height)))
+                views[g] = (c[0][i], c[1][i], min(max(zoom, 1.0), 14.5))
+        f = e
+    k = max(1, int(0.25 * fps))
+    fade = even([float(x) for x in seen], [1 / (2 * k + 1)] * (2 * k + 1))
+    held, out = views[min(views)] if views else None, []
+    for f in range(n):
+        held = views.get(f, held)
+        out.append((*held, fade[f] if seen[f] else 0.0) if held else None)
+    return out
+
+
+def test_camera(spark):
+    r = random.Random(13)
+    data, want = [], {}
+    for film in "abc":
+        n, dots = 260, []
+        for _ in range(2):
+            x, y, dot = 0.5, 0.4, []
+            for f in range(n):
+                if 60 < f < 90:
+                    x, y = x + r.uniform(0, 0.01), y - r.uniform(0, 0.004)
+                dot.append(None if film != "a" and (f // 37) % 3 == 1 else (x, y))
+            dots.append(dot)
+        if film == "c":
+            dots[1] = [None] * n
+        on = [5 <= f < 250 for f in range(n)]
+        want[film] = plain_camera(on, dots, 10, 3.2, 960, 540)
+        data += [(film, f, on[f], *[v for d in dots for v in (d[f] or (None, None))]) for f in range(n)]
+    df = spark.createDataFrame(data + [("d", 0, True, None, None, None, None)], "k string, frame long, on boolean, ax double, ay double, bx double, by double")
+    got = {}
+    for x in frames.camera(df, "k", [("ax", "ay"), ("bx", "by")], 10, 3.2, 960, 540).collect():
+        got[(x["k"], x["frame"])] = (x["cx"], x["cy"], x["zoom"], x["visible"])
+    assert len(got) == 780
+    for (k, f), v in got.items():
+        assert v == pytest.approx(want[k][f], abs=1e-9), (k, f)
