@@ -195,18 +195,18 @@ def segment(pdf: pd.DataFrame, p: Mobility) -> pd.DataFrame:
 
 def _without_repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sorted rows without those equal to the one before, so that copies of a fix, however many, are never held."""
-    last = None
+    last: pd.DataFrame | None = None
     for pdf in batches:
         if not len(pdf):
             continue
-        new = np.zeros(len(pdf), dtype=bool)
-        for c in pdf.columns:
-            v = pdf[c].to_numpy()
-            new[1:] |= v[1:] != v[:-1]
-        row = tuple(pdf.iloc[-1])
-        new[0] = last is None or tuple(pdf.iloc[0]) != last
-        last = row
-        yield pdf[new]
+        rows = pdf if last is None else pd.concat([last, pdf], ignore_index=True)
+        new = np.zeros(len(rows), dtype=bool)
+        new[0] = last is None
+        for c in rows.columns:
+            v, gone = rows[c].to_numpy(), pd.isna(rows[c]).to_numpy()  # unknown values are equal to each other
+            new[1:] |= (v[1:] != v[:-1]) & ~(gone[1:] & gone[:-1])
+        last = pdf.iloc[-1:]
+        yield rows[new]
 
 
 def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], at_least: int = 50_000) -> Iterator[pd.DataFrame]:

@@ -12,8 +12,9 @@ def write_lines(df: DataFrame, path: str) -> None:
 
 
 def write_track(fixes: DataFrame, path: str) -> None:
-    """The cleaned track, a folder for each person, in order of time within the files."""
-    fixes.repartition("person").sortWithinPartitions("person", "t").write.mode("overwrite").partitionBy("person").parquet(path)
+    """The cleaned track, a folder for each person, in order of time within the files. A person's thirty days go to one
+    writer, so that none writes the whole of a large track."""
+    fixes.repartition("person", F.floor(F.col("t") / 2_592_000)).sortWithinPartitions("person", "t").write.mode("overwrite").partitionBy("person").parquet(path)
 
 
 def summary(photos: DataFrame, social: DataFrame, fixes: DataFrame) -> DataFrame:

@@ -60,3 +60,15 @@ def test_edges(spark):
     assert stops_and_trips(lone).collect() == []
     still = spark.createDataFrame([("é" * 50, 60.0 * i, 179.0 / 2, 180.0, None) for i in range(30)], SCHEMA)
     assert [x["kind"] for x in stops_and_trips(still).collect()] == ["stop"]
+
+
+def test_copies_with_unknown_accuracy_are_dropped_while_streaming():
+    import numpy as np
+    import pandas as pd
+
+    from lifeweave.operators import mobility
+
+    part = pd.DataFrame({"person": ["a"] * 5, "t": [1.0] * 5, "acc": [np.nan] * 5})
+    other = pd.DataFrame({"person": ["a", "a", "b"], "t": [1.0, 1.0, 1.0], "acc": [np.nan, 3.0, 3.0]})
+    got = pd.concat(mobility._without_repeats(iter([part, part, other])))
+    assert got["person"].tolist() == ["a", "a", "b"] and got["acc"].isna().tolist() == [True, False, False]
