@@ -74,7 +74,7 @@ def parse_time(v) -> Column:
 
 def parse_latlng(v) -> tuple[Column, Column]:
     """(lat, lon) of '12.34°, 56.78°' or 'geo:12.34,56.78'; NULLs outside the valid range."""
-    pattern = r"(-?\d+(?:\.\d+)?)°?\s*,\s*(-?\d+(?:\.\d+)?)"
+    pattern = r"([-+]?\d+(?:\.\d+)?)\s*°?\s*,\s*([-+]?\d+(?:\.\d+)?)"
     lat, lon = (F.regexp_extract(c(v), pattern, i).try_cast("double") for i in (1, 2))
     ok = valid_latlon(lat, lon)
     return F.when(ok, lat), F.when(ok, lon)
@@ -87,6 +87,44 @@ def fix_mojibake(s) -> Column:
     return F.when(s.rlike(r"^[\x00-\xff]*$"), F.coalesce(again, s)).otherwise(s)
 
 
+def mend_tree(document: str) -> str:
+    """A JSON document with all of its texts and keys put right as ``fix_mojibake`` does; what is no JSON as it is."""
+    import json
+
+    def mend(v):
+        match v:
+            case str():
+                try:
+                    return v.encode("latin-1").decode()
+                except UnicodeError:
+                    return v
+            case list():
+                return list(map(mend, v))
+            case dict():
+                return {mend(k): mend(x) for k, x in v.items()}
+        return v
+
+    try:
+        return json.dumps(mend(json.loads(document)), ensure_ascii=False)
+    except ValueError:
+        return document
+
+
+def fix_mojibake_tree(documents) -> Column:
+    """``mend_tree`` of a column of JSON documents; NULL stays NULL."""
+    import pandas as pd
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(mend_tree, na_action="ignore")
+
+    return F.pandas_udf(run, "string")(c(documents))
+
+
+def share_count(share, n) -> Column:
+    """How many items a share of n is: at least two, half to even."""
+    return F.greatest(F.lit(2), F.rint(c(share) * c(n))).cast("bigint")
+
+
 def time_from_filename(name) -> Column:
     """Unix seconds (UTC) of a date and time in a file name; NULL if there is none or it isn't valid."""
     y, mo, d, h, mi, s = (F.regexp_extract(c(name), FILE_TIME, i) for i in range(1, 7))

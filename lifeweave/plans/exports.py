@@ -5,7 +5,6 @@ Documents are built a (person, stretch of time) each, so none grows with a perso
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lifeweave.functions import scalar
 from lifeweave.plans.common import SQL_FIX, SQL_PHOTO, fixes, photos
-from lifeweave.session import ensure_checkpoint_dir, table
+from lifeweave.session import new_folder, table
 from lifeweave.sources import google, meta, others, sinks
 
 STRETCH_S = 30 * 86_400
@@ -154,16 +153,11 @@ def social_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("source", "kind").agg(F.sum("n").alias("n"))
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the reliable checkpoints, which all executors share."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/sinks/{name}-{uuid.uuid4().hex}"
-
-
 def written_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The track written by person and read back for a range of times, the middle third of all."""
     f = fixes(spark, sf_dir).select("fix_id", "person", "t", "lat", "lon", F.col("src").cast("int").alias("src"))
     ends = f.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
-    path = _folder(spark, "track")
+    path = new_folder(spark, "track")
     sinks.write_track(f, path)
     third = (ends["b"] - ends["a"]) / 3
     return sinks.load_track(spark, path, ends["a"] + third, ends["b"] - third).select("fix_id", F.col("person").cast("string").alias("person"), "t", "src")
@@ -171,7 +165,7 @@ def written_track(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def written_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Photos written as JSON lines and read back."""
-    path = _folder(spark, "photos")
+    path = new_folder(spark, "photos")
     columns = ["photo_id", "person", "ts", "title", "description", "favorite", "views"]
     p = photos(spark, sf_dir).select(*columns)
     sinks.write_lines(p, path)
@@ -181,7 +175,7 @@ def written_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def written_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Photos left after an exclude list was written and read: the titles of edited copies and the uris of an album."""
     p = photos(spark, sf_dir)
-    path = _folder(spark, "exclude")
+    path = new_folder(spark, "exclude")
     entries = p.where(F.col("title").rlike(r"(?iu)-edited\.")).select(F.col("title").alias("entry")).union(p.where("album = 'Trip' AND uri IS NOT NULL").select("uri")).distinct()
     sinks.write_list(entries, "entry", path)
     return sinks.without_excluded(p.withColumn("uri", F.coalesce("uri", F.lit(""))), sinks.read_exclude(spark, path)).select("photo_id")

@@ -61,8 +61,10 @@ def unpaired_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def live_photo_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Media without the video halves of live photos."""
-    return ops.fold_live_photos(_media(spark, sf_dir), ["person"]).select("media_id", "kind")
+    """Media without the video halves of live photos; every seventh image is given such a half, as the table holds none."""
+    m = _media(spark, sf_dir)
+    halves = m.where("kind = 'image' AND media_id % 7 = 0").withColumns({"media_id": F.col("media_id") + 1_000_000_000, "name": F.concat(F.upper(scalar.stem("name")), F.lit(".MOV")), "kind": F.lit("video")})
+    return ops.fold_live_photos(m.unionByName(halves), ["person"]).select("media_id", "kind")
 
 
 def album_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +121,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "sidecar_pairing": f"WITH {_SQL_MEDIA} SELECT * FROM paired",
     "unpaired_media": f"WITH {_SQL_MEDIA} SELECT media_id, name, {sql_file_time('name')} AS ts FROM paired WHERE sidecar_id IS NULL",
-    "live_photo_fold": f"""WITH {_SQL_MEDIA} SELECT media_id, kind FROM media m WHERE NOT (kind = 'video' AND EXISTS (SELECT 1 FROM media i WHERE i.kind = 'image' AND i.person = m.person AND i.dir = m.dir
+    "live_photo_fold": f"""WITH {_SQL_MEDIA}, lm AS (SELECT person, media_id, dir, name, kind FROM media UNION ALL SELECT person, media_id + 1000000000, dir, upper(regexp_replace(name, '\\.[^.]*$', '')) || '.MOV', 'video' FROM media WHERE kind = 'image' AND media_id % 7 = 0)
+      SELECT media_id, kind FROM lm m WHERE NOT (kind = 'video' AND EXISTS (SELECT 1 FROM lm i WHERE i.kind = 'image' AND i.person = m.person AND i.dir = m.dir
       AND lower(regexp_replace(i.name, '\\.[^.]*$', '')) = lower(regexp_replace(m.name, '\\.[^.]*$', ''))))""",
     "album_dedup": f"""WITH {SQL_PHOTO}, r AS (SELECT *, lower(regexp_replace(regexp_replace(title, '\\.[^.]*$', ''), '-({_MARKS})$', '', 'i')) AS st, CAST(round_even(ts, 0) AS BIGINT) AS sec,
       struct_pack(a := NOT coalesce(starts_with(album, 'Photos from'), false), u := uri, p := photo_id) AS ord FROM photo WHERE source = 'google_photos')

@@ -8,13 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lifeweave.functions import scalar
+from lifeweave.functions import media, scalar
 from lifeweave.functions.geo import flat_km
 from lifeweave.operators.sessions import event_table, event_weight, home_cells, largest_remainder, sessionize
 from lifeweave.plans.common import SQL_PHOTO, SQL_SCORE, SQL_SKIP, photos, sql_flat_km
 from lifeweave.session import checkpoint
+from lifeweave.sources import sinks
 
-CHOSEN = 60
+CHOSEN, VIDEO_SHARE = 60, 0.15
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +77,7 @@ def period_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _period_quota(_labelled(spark, sf_dir))
 
 
-def _sql_remainder(src: str, over: str, weight: str, cap: str, total: str, order: str, name: str) -> str:
+def sql_remainder(src: str, over: str, weight: str, cap: str, total: str, order: str, name: str) -> str:
     return f"""
 {name}_a AS (SELECT *, {total} * {weight} / sum({weight}) OVER (PARTITION BY {over}) AS raw FROM {src}),
 {name}_b AS (SELECT *, least(CAST(floor(raw) AS BIGINT), {cap}) AS got, least(CAST(floor(raw) AS BIGINT), {cap}) < {cap} AS open, raw - floor(raw) AS rest FROM {name}_a),
@@ -86,7 +87,7 @@ def _sql_remainder(src: str, over: str, weight: str, cap: str, total: str, order
 
 _SQL_PERIOD = """
 period0 AS (SELECT person, CAST(floor(ts / 2592000) AS BIGINT) AS period, count(*) AS items, sqrt(count(*)) AS weight FROM item GROUP BY ALL),
-period1 AS (SELECT *, CAST(least(60, sum(items) OVER (PARTITION BY person)) AS BIGINT) AS total FROM period0),""" + _sql_remainder("period1", "person", "weight", "items", "total", "period", "pq")
+period1 AS (SELECT *, CAST(least(60, sum(items) OVER (PARTITION BY person)) AS BIGINT) AS total FROM period0),""" + sql_remainder("period1", "person", "weight", "items", "total", "period", "pq")
 
 
 def period_quota_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +152,7 @@ def event_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL_EVENT_QUOTA = (
     """
 top0 AS (SELECT w.*, p.quota AS q, CAST(greatest(1, floor(size / 3)) AS BIGINT) AS cap FROM weighted w JOIN pq p USING (person, period) WHERE p.quota > 0 AND rank <= p.quota),"""
-    + _sql_remainder("top0", "person, period", "weight", "cap", "q", "rank", "tq")
+    + sql_remainder("top0", "person, period", "weight", "cap", "q", "rank", "tq")
     + """,
 short AS (SELECT person, period, max(q) AS q, sum(quota) AS given FROM tq GROUP BY ALL HAVING sum(quota) < max(q)),
 eq AS (SELECT person, period, event, rank, quota FROM tq WHERE quota > 0
@@ -198,6 +199,32 @@ SELECT p.person, p.event, p.photo_id FROM pool0 p LEFT JOIN even e ON p.person =
 WHERE best <= k OR e.at IS NOT NULL OR (kind = 'video' AND video_best <= 2)"""
 
 
+def candidate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos that a selection may choose from: no captures, no compositions (every fiftieth record stands for one), in the
+    years 2016 to 2024, neither uri nor title on an exclude list, clips only if their share leaves room for any."""
+    p = photos(spark, sf_dir).withColumn("origin", F.when(F.col("photo_id") % 50 == 0, "composition").otherwise(F.coalesce("origin", F.lit(""))))
+    p = p.where(~F.col("title").rlike(scalar.SKIP) & ~F.col("origin").startswith("composition") & F.col("ts").between(scalar.date_bound("2016"), scalar.date_bound("2024", end=True)))
+    entries = photos(spark, sf_dir).where("album = 'Trip'").select(F.explode(F.array("uri", "title")).alias("entry")).where("entry <> ''").distinct()
+    p = sinks.without_excluded(p.withColumn("uri", F.coalesce("uri", F.lit(""))), entries)
+    return p.where((F.col("kind") == "image") | F.lit(media.max_videos(VIDEO_SHARE, CHOSEN) > 0)).select("photo_id", "kind")
+
+
+def share_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many items a tenth of each person's photos is."""
+    return photos(spark, sf_dir).groupBy("person").agg(F.count("*").alias("photos")).select("person", "photos", scalar.share_count(F.lit(0.1), "photos").alias("chosen"))
+
+
+def video_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips that a film of CHOSEN items may use: of each person's best twice as many by metadata, those that are usable, the
+    best up to the ceiling. Sizes and lengths follow from ids, as the table holds none."""
+    most = media.max_videos(VIDEO_SHARE, CHOSEN)
+    v = photos(spark, sf_dir).where("kind = 'video'").withColumn("score", F.round(scalar.meta_score(), 9))
+    v = v.withColumns({"size": (F.col("photo_id") % 13) * 100_000_000, "duration": (F.col("photo_id") % 9) / 2.0})
+    order = Window.partitionBy("person").orderBy(F.desc("score"), "ts", "photo_id")
+    top = v.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 * most).where(media.clip_usable("size", "favorite", "duration"))
+    return top.withColumn("place", F.row_number().over(order).cast("bigint")).where(F.col("place") <= most).select("person", "photo_id", "place")
+
+
 def diverse_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items chosen from each event's pool: best score first, none whose perceptual hash is near that of a chosen one, and,
     while the pool is large, none too near in time. The hash here is one of the time of day and kind, as pixels are no input."""
@@ -226,7 +253,7 @@ def diverse_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (representative_events, sessionize_events, home_cell, period_quota, period_quota_filled, event_weights, event_quota, candidate_pool, diverse_pick)
+    f.__name__: f for f in (representative_events, sessionize_events, home_cell, period_quota, period_quota_filled, event_weights, event_quota, candidate_pool, candidate_filter, share_counts, video_ceiling, diverse_pick)
 }
 _W = "WITH " + _SQL_EVENTS
 SQL: dict[str, str] = {
@@ -236,5 +263,10 @@ SQL: dict[str, str] = {
     "event_weights": f"{_W}, {_SQL_HOME}, {_SQL_WEIGHTED} SELECT person, period, event, round(weight, 6) AS weight, rank FROM weighted",
     "event_quota": f"{_W}, {_SQL_HOME}, {_SQL_WEIGHTED}, {_SQL_PERIOD}, {_SQL_EVENT_QUOTA} SELECT person, period, event, rank, quota FROM eq",
     "representative_events": f"{_W}, {_SQL_HOME}, {_SQL_WEIGHTED}, {_SQL_PERIOD}, {_SQL_EVENT_QUOTA} SELECT person, q.period, event, q.quota, e.size, e.t0, e.t1, round(e.lat, 6) AS lat, round(e.lon, 6) AS lon FROM eq q JOIN event e USING (person, event)",
+    "candidate_filter": f"""WITH {SQL_PHOTO}, x AS (SELECT unnest([uri, title]) AS entry FROM photo WHERE album = 'Trip') SELECT photo_id, kind FROM photo WHERE NOT {SQL_SKIP} AND photo_id % 50 <> 0 AND NOT starts_with(coalesce(origin, ''), 'composition')
+      AND ts BETWEEN epoch(TIMESTAMP '2016-01-01') AND epoch(TIMESTAMP '2024-12-31 23:59:59') AND title NOT IN (SELECT entry FROM x WHERE entry <> '') AND coalesce(uri, '') NOT IN (SELECT entry FROM x WHERE entry <> '')""",
+    "share_counts": f"WITH {SQL_PHOTO} SELECT person, count(*) AS photos, CAST(greatest(2, round_even(0.1 * count(*), 0)) AS BIGINT) AS chosen FROM photo GROUP BY person",
+    "video_ceiling": f"""WITH {SQL_PHOTO}, v AS (SELECT person, photo_id, favorite, ts, round({SQL_SCORE}, 9) AS score FROM photo WHERE kind = 'video'), t AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY score DESC, ts, photo_id) AS rank FROM v),
+      u AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY score DESC, ts, photo_id) AS place FROM t WHERE rank <= 18 AND ((photo_id % 13) * 100000000 <= 1073741824 OR favorite) AND (photo_id % 9) / 2.0 >= 2.0) SELECT person, photo_id, place FROM u WHERE place <= 9""",
     "candidate_pool": f"{_W}, {_SQL_HOME}, {_SQL_WEIGHTED}, {_SQL_PERIOD}, {_SQL_EVENT_QUOTA}, {_SQL_POOL}",
 }

@@ -134,7 +134,7 @@ def place_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("photo_id", scalar.caption_date("ts", "lon").alias("date"), F.coalesce("place", "town", F.lit("")).alias("place"), F.substring("description", 1, 160).alias("caption"))
 
 
-def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Towns with a country code and region: cells of thirty and ten degrees, as no gazetteer is at hand."""
     t = ops.towns(ops.places(table(spark, sf_dir, "places", ops.COLUMNS)))
     cell = lambda n: F.concat_ws(":", F.floor(F.col("tlat") / n).cast("string"), F.floor(F.col("tlon") / n).cast("string"))
@@ -144,12 +144,12 @@ def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def countries_visited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Countries of each person's positioned photos."""
     items = photos(spark, sf_dir).where("lat IS NOT NULL").select("photo_id", "person", "lat", "lon")
-    return ops.countries_visited(items, "person", _regions(spark, sf_dir))
+    return ops.countries_visited(items, "person", regions(spark, sf_dir))
 
 
 def full_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place captions with region at home and country elsewhere."""
-    towns = _regions(spark, sf_dir)
+    towns = regions(spark, sf_dir)
     countries = towns.select("cc", F.concat(F.lit("Country "), F.col("cc")).alias("country")).distinct()
     return ops.captions(photos(spark, sf_dir).select("photo_id", "person", "lat", "lon"), "person", photo_in_place(spark, sf_dir), towns, countries)
 
@@ -158,12 +158,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (teleport_filter, thin_track, daily_track, track_km, track_union, nearest_fix_asof, position_at_loose, position_at_strict, photo_in_place, nearest_city, place_captions, countries_visited, full_captions)
 }
-_PLACE = "place AS (SELECT place_id, person, t0, t1, lat, lon, name, source FROM places WHERE person IS NOT NULL AND t0 IS NOT NULL AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (abs(lat) < 1e-6 AND abs(lon) < 1e-6))"
-_SQL_IN_PLACE = f"""{SQL_PHOTO}, {_PLACE},
+SQL_PLACE = "place AS (SELECT place_id, person, t0, t1, lat, lon, name, source FROM places WHERE person IS NOT NULL AND t0 IS NOT NULL AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (abs(lat) < 1e-6 AND abs(lon) < 1e-6))"
+_SQL_INSQL_PLACE = f"""{SQL_PHOTO}, {SQL_PLACE},
 hit AS (SELECT photo_id, max(struct_pack(t0 := p.t0, place_id := p.place_id, name := CASE WHEN p.name = 'Inferred Home' THEN 'Home' WHEN p.name = 'Inferred Work' THEN 'Work' ELSE p.name END)) AS m
   FROM photo q JOIN place p ON p.person = q.person AND p.t0 - 1800 <= q.ts AND q.ts <= coalesce(p.t1, p.t0) + 1800 AND p.t0 >= q.ts - 86400 AND (q.lat IS NULL OR abs(p.lat - q.lat) + abs(p.lon - q.lon) < 0.02)
   WHERE coalesce(p.name, '') <> '' GROUP BY photo_id)"""
-_SQL_TOWN = f"""town AS (SELECT CAST(floor(lat * 4) AS BIGINT) AS cy, CAST(floor(lon * 4) AS BIGINT) AS cx, min(name) AS town, round(avg(lat), 6) AS tlat, round(avg(lon), 6) AS tlon FROM place WHERE coalesce(name, '') <> '' GROUP BY ALL HAVING count(*) >= 5),
+SQL_TOWN = f"""town AS (SELECT CAST(floor(lat * 4) AS BIGINT) AS cy, CAST(floor(lon * 4) AS BIGINT) AS cx, min(name) AS town, round(avg(lat), 6) AS tlat, round(avg(lon), 6) AS tlon FROM place WHERE coalesce(name, '') <> '' GROUP BY ALL HAVING count(*) >= 5),
 near AS (SELECT photo_id, arg_min(struct_pack(town := town, km := d, tlat := tlat), struct_pack(d := d, town := town, tlat := tlat)) AS m FROM (
     SELECT photo_id, town, tlat, round({sql_haversine("p.lat", "p.lon", "tlat", "tlon")} / 1000, 3) AS d FROM photo p JOIN town ON tlat BETWEEN p.lat - 1.0 AND p.lat + 1.0 WHERE p.lat IS NOT NULL) WHERE d <= 50 GROUP BY photo_id)"""
 SQL: dict[str, str] = {
@@ -172,7 +172,7 @@ SQL: dict[str, str] = {
     "daily_track": f"WITH {SQL_FIX} SELECT person, CAST(floor(t / 86400) AS BIGINT) AS day, round(median(t), 1) AS t, round(median(lat), 5) AS lat, round(median(lon), 5) AS lon, count(*) AS fixes FROM fix GROUP BY ALL",
     "track_km": f"""WITH {SQL_FIX}, d AS (SELECT person, CAST(floor(t / 86400) AS BIGINT) AS day, median(lat) AS lat, median(lon) AS lon FROM fix GROUP BY ALL),
       l AS (SELECT person, {sql_haversine("lag(lat) OVER w", "lag(lon) OVER w", "lat", "lon")} AS leg FROM d WINDOW w AS (PARTITION BY person ORDER BY day)) SELECT person, CAST(floor(coalesce(sum(leg), 0) / 1000) AS BIGINT) AS km, count(*) AS days FROM l GROUP BY person""",
-    "track_union": f"""WITH {SQL_FIX}, {SQL_PHOTO}, {_PLACE}, u AS (SELECT person, t, CAST(src AS INT) AS src FROM fix UNION ALL SELECT person, ts, 3 FROM photo WHERE lat IS NOT NULL AND ts_origin <> 'post' UNION ALL SELECT person, t0, 4 FROM place WHERE source = 'facebook')
+    "track_union": f"""WITH {SQL_FIX}, {SQL_PHOTO}, {SQL_PLACE}, u AS (SELECT person, t, CAST(src AS INT) AS src FROM fix UNION ALL SELECT person, ts, 3 FROM photo WHERE lat IS NOT NULL AND ts_origin <> 'post' UNION ALL SELECT person, t0, 4 FROM place WHERE source = 'facebook')
       SELECT person, src, count(*) AS n, min(t) AS first, max(t) AS last FROM u GROUP BY ALL""",
     "nearest_fix_asof": f"""WITH {SQL_FIX}, {SQL_PHOTO}, p AS (SELECT q.photo_id, q.person, q.ts, w.t AS pt, w.v AS pv FROM photo q ASOF LEFT JOIN (SELECT person, t, max(struct_pack(fix_id := fix_id, lat := lat, lon := lon)) AS v FROM fix GROUP BY ALL) w ON q.person = w.person AND q.ts > w.t),
       n AS (SELECT q.*, w.t AS nt, w.v AS nv FROM p q ASOF LEFT JOIN (SELECT person, t, min(struct_pack(fix_id := fix_id, lat := lat, lon := lon)) AS v FROM fix GROUP BY ALL) w ON q.person = w.person AND q.ts <= w.t),
@@ -180,7 +180,7 @@ SQL: dict[str, str] = {
       SELECT photo_id, round(gap, 3) AS gap, round(v.lat, 6) AS lat, round(v.lon, 6) AS lon FROM f WHERE gap <= 10800""",
     "position_at_loose": f"WITH {_SQL_WORLD}, {sql_positions(False)} SELECT photo_id, round(degrees(atan(sinh(pi() * (1 - 2 * y)))), 5) AS lat, round(x * 360.0 - 180.0, 5) AS lon FROM pos WHERE x IS NOT NULL",
     "position_at_strict": f"WITH {_SQL_WORLD}, {sql_positions(True)} SELECT photo_id, round(degrees(atan(sinh(pi() * (1 - 2 * y)))), 5) AS lat, round(x * 360.0 - 180.0, 5) AS lon FROM pos WHERE x IS NOT NULL",
-    "photo_in_place": f"WITH {_SQL_IN_PLACE} SELECT photo_id, m.place_id AS place_id, m.name AS name FROM hit",
-    "countries_visited": f"WITH {SQL_PHOTO}, {_PLACE}, {_SQL_TOWN} SELECT person, CAST(CAST(floor(t.tlat / 30) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(floor(t.tlon / 30) AS BIGINT) AS VARCHAR) AS cc, count(*) AS n FROM near JOIN photo USING (photo_id) JOIN town t ON t.town = m.town AND t.tlat = m.tlat GROUP BY ALL",
-    "nearest_city": f"WITH {SQL_PHOTO}, {_PLACE}, {_SQL_TOWN} SELECT photo_id, m.town AS town, m.km AS km FROM near",
+    "photo_in_place": f"WITH {_SQL_INSQL_PLACE} SELECT photo_id, m.place_id AS place_id, m.name AS name FROM hit",
+    "countries_visited": f"WITH {SQL_PHOTO}, {SQL_PLACE}, {SQL_TOWN} SELECT person, CAST(CAST(floor(t.tlat / 30) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(floor(t.tlon / 30) AS BIGINT) AS VARCHAR) AS cc, count(*) AS n FROM near JOIN photo USING (photo_id) JOIN town t ON t.town = m.town AND t.tlat = m.tlat GROUP BY ALL",
+    "nearest_city": f"WITH {SQL_PHOTO}, {SQL_PLACE}, {SQL_TOWN} SELECT photo_id, m.town AS town, m.km AS km FROM near",
 }

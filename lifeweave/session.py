@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -34,11 +35,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint: the rows survive the loss of any executor."""
+    """Cut the lineage with a reliable checkpoint: the rows survive the loss of any executor. Its files go once nothing on the
+    driver refers to them any more."""
     ensure_checkpoint_dir(df.sparkSession)
+    df.sparkSession.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder beside the reliable checkpoints, which all executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/written/{name}-{uuid.uuid4().hex}"
+
+
 def scan_partitions(spark: SparkSession) -> int:
     """Range partitions for an ordered scan: as many as a shuffle has, so that no task holds more than a shuffle task does."""
     return max(1, min(MAX_SCAN_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))

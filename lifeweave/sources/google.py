@@ -27,6 +27,7 @@ def _json(path: str) -> Column:
 
 def latlng(text: Column) -> tuple[Column, Column]:
     """(lat, lon) of a position in any of the exports' forms, given as JSON text or as a string of two numbers."""
+    text = F.coalesce(F.get_json_object(text, "$.placeLocation"), text)
     get = lambda k: F.get_json_object(text, f"$.{k}")
     pair = F.coalesce(get("latLng"), get("point"), get("LatLng"), F.when(~text.startswith("{"), text))
     s_lat, s_lon = scalar.parse_latlng(pair)
