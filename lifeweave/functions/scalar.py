@@ -57,7 +57,7 @@ def without_copy_number(name_stem) -> Column:
 def parse_time(v) -> Column:
     """Unix seconds (double) of an export's time value: epoch seconds or milliseconds, ISO (without offset: UTC), the form
     of X ('Mon Dec 04 14:41:52 +0000 2017'), EXIF's, or '4 Dec 2017, 14:41:52 UTC'; NULL if it is none of these."""
-    v = F.trim(c(v))
+    v = F.regexp_replace(c(v), r"^\s+|\s+$", "")
     number = F.when(v.rlike(r"^\d+(\.\d+)?$"), v.try_cast("double"))
     epoch = F.when(number > 1e11, number / 1000).otherwise(number)
     iso = F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}"), F.regexp_replace(v, "[Zz]$", "+00:00"))

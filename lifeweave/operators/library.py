@@ -33,8 +33,12 @@ def pair_sidecars(media: DataFrame, sidecars: DataFrame, group: list[str]) -> Da
     m = m.join(same, [*group, "dir", "title", "dup"], "left").join(first, [*group, "dir", "title"], "left")
     found = m.withColumn("sidecar_id", F.coalesce("s1", "s2"))
     open_ = found.where("sidecar_id IS NULL").select(*group, "media_id", "dir", "dup", F.lower("base").alias("base"))
-    near = open_.join(best.withColumnRenamed("title", "other"), [*group, "dir", "dup"]).where(F.col("other").startswith(F.col("base")))
-    only = near.groupBy(*group, "media_id").agg(F.count_distinct("other").alias("titles"), F.min("sidecar_id").alias("s3")).where("titles = 1").drop("titles")
+    # titles cut to the lengths that open bases of their folder have: what begins with a base equals it there. A folder's
+    # titles are repeated a few dozen times (once a length), never once a file
+    lengths = open_.select(*group, "dir", "dup", F.length("base").alias("k")).distinct()
+    cut = best.join(lengths, [*group, "dir", "dup"]).where(F.length("title") >= F.col("k")).withColumn("base", F.expr("substring(title, 1, k)"))
+    alone = cut.groupBy(*group, "dir", "dup", "base").agg(F.count_distinct("title").alias("titles"), F.min("sidecar_id").alias("s3")).where("titles = 1").drop("titles")
+    only = open_.join(alone, [*group, "dir", "dup", "base"]).select(*group, "media_id", "s3")
     out = found.join(only, [*group, "media_id"], "left")
     how = F.when(F.col("s1").isNotNull(), "same").when(F.col("s2").isNotNull(), "first").when(F.col("s3").isNotNull(), "prefix")
     return out.select(*group, "media_id", "dir", "name", F.coalesce("sidecar_id", "s3").alias("sidecar_id"), how.alias("found"))

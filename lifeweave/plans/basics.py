@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lifeweave.functions import scalar
 from lifeweave.functions.geo import flat_km, haversine_m, lat_of, lon_of, smoothstep, world_x, world_y, zoom_for_bbox
+from lifeweave.operators.adjacent import percentiles, with_neighbours
 from lifeweave.plans.common import SQL_FIX, SQL_PHOTO, SQL_SCORE, SQL_SKIP, fixes, photos, sql_file_time, sql_flat_km, sql_haversine
 from lifeweave.session import table
 
@@ -21,9 +22,9 @@ def mercator(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both distances between each fix and the one before."""
-    w = Window.partitionBy("person").orderBy("t", "fix_id")
-    args = [F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")]
-    return fixes(spark, sf_dir).select("fix_id", F.round(haversine_m(*args), 3).alias("metres"), F.round(flat_km(*args), 5).alias("km"))
+    f = with_neighbours(fixes(spark, sf_dir), "person", "t", "fix_id", ["lat", "lon"])
+    args = [F.col("prev.lat"), F.col("prev.lon"), F.col("lat"), F.col("lon")]
+    return f.select("fix_id", F.round(haversine_m(*args), 3).alias("metres"), F.round(flat_km(*args), 5).alias("km"))
 
 
 def parse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +74,8 @@ def posts_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def view_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zoom that fits the way from each fix to the next, the smooth share of its minute, and hash distance of their ids."""
-    w = Window.partitionBy("person").orderBy("t", "fix_id")
-    f = fixes(spark, sf_dir).select("fix_id", "t", world_x("lon").alias("x"), world_y("lat").alias("y"), F.lead(world_x("lon")).over(w).alias("x2"), F.lead(world_y("lat")).over(w).alias("y2"), F.lead("fix_id").over(w).alias("next"))
-    f = f.where("next IS NOT NULL")
+    f = fixes(spark, sf_dir).select("person", "fix_id", "t", world_x("lon").alias("x"), world_y("lat").alias("y"))
+    f = with_neighbours(f, "person", "t", "fix_id", ["x", "y", "fix_id"]).where("next IS NOT NULL").select("fix_id", "t", "x", "y", F.col("next.x").alias("x2"), F.col("next.y").alias("y2"), F.col("next.fix_id").alias("next"))
     zoom = zoom_for_bbox(F.least("x", "x2"), F.least("y", "y2"), F.greatest("x", "x2"), F.greatest("y", "y2"), 960, 540, 256)
     return f.select("fix_id", F.round(zoom, 4).alias("zoom"), F.round(smoothstep(F.col("t") % 60 / 60), 6).alias("ease"), scalar.hamming("fix_id", "next").cast("bigint").alias("bits"))
 
@@ -94,9 +94,10 @@ def excluded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def robust_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Box of each person's fixes between the 2 and 98 percentiles, or of all if they are few."""
     f = fixes(spark, sf_dir).select("person", world_x("lon").alias("mx"), world_y("lat").alias("my"))
-    few = F.count("*") <= 20
-    out = [F.round(F.when(few, low(c)).otherwise(F.percentile(c, q)), 9).alias(n) for c, n, q, low in (("mx", "x0", 0.02, F.min), ("my", "y0", 0.02, F.min), ("mx", "x1", 0.98, F.max), ("my", "y1", 0.98, F.max))]
-    return f.groupBy("person").agg(*out)
+    ends = f.groupBy("person").agg(F.count("*").alias("n"), *[low(c).alias(f"all_{n}") for n, c, low in (("x0", "mx", F.min), ("y0", "my", F.min), ("x1", "mx", F.max), ("y1", "my", F.max))])
+    for c in "xy":
+        ends = ends.join(percentiles(f, "person", f"m{c}", {f"{c}0": 0.02, f"{c}1": 0.98}, 1e-5), "person")
+    return ends.select("person", *[F.round(F.when(F.col("n") <= 20, F.col(f"all_{c}")).otherwise(F.col(c)), 9).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
 def timeline_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +143,13 @@ SQL: dict[str, str] = {
     "mercator": f"WITH {_WORLD} SELECT fix_id, round(mx, 12) AS mx, round(my, 12) AS my, round(degrees(atan(sinh(pi() * (1 - 2 * my)))), 7) AS lat, round(mx * 360.0 - 180.0, 7) AS lon FROM w",
     "haversine_pairs": f"WITH {SQL_FIX}, p AS (SELECT fix_id, lat, lon, lag(lat) OVER w AS a, lag(lon) OVER w AS o FROM fix WINDOW w AS (PARTITION BY person ORDER BY t, fix_id)) SELECT fix_id, round({sql_haversine('a', 'o', 'lat', 'lon')}, 3) AS metres, round({sql_flat_km('a', 'o', 'lat', 'lon')}, 5) AS km FROM p",
     "filename_time": f"WITH {SQL_PHOTO} SELECT photo_id, {sql_file_time('title')} AS ts FROM photo",
+    "fix_mojibake": """WITH s AS (SELECT social_id, text, TRY(decode(unhex(array_to_string(list_transform(string_split(text, ''), lambda c: printf('%02X', unicode(c))), '')))) AS fixed FROM social WHERE regexp_matches(text, '[^\\x00-\\x7f]') AND regexp_full_match(text, '[\\x{0}-\\x{ff}]*')) SELECT social_id, fixed FROM s WHERE fixed <> text""",
+    "parse_times": """WITH v AS (SELECT stamp_id, regexp_replace(raw_value, '^\\s+|\\s+$', '', 'g') AS v FROM stamps), k AS (SELECT *, regexp_matches(v, '^\\d+(\\.\\d+)?$') AS is_number,
+        CASE WHEN regexp_matches(v, '^\\d{4}-\\d{2}-\\d{2}') THEN regexp_replace(v, '[Zz]$', '+00:00') WHEN regexp_matches(v, '^\\d{4}:\\d{2}:\\d{2} ') THEN replace(substring(v, 1, 10), ':', '-') || substring(v, 11, 30) END AS t,
+        regexp_extract(v, '^[A-Z][a-z]{2} ([A-Z][a-z]{2} \\d{2} \\d{2}:\\d{2}:\\d{2} [+-]\\d{4} \\d{4})$', 1) AS tweet, regexp_extract(v, '^(\\d{1,2} [A-Z][a-z]{2} \\d{4}, \\d{2}:\\d{2}:\\d{2}) UTC$', 1) AS words FROM v)
+      SELECT stamp_id, round(CASE WHEN is_number THEN CASE WHEN CAST(v AS DOUBLE) > 1e11 THEN CAST(v AS DOUBLE) / 1000 ELSE CAST(v AS DOUBLE) END
+        WHEN t IS NOT NULL THEN epoch(TRY_CAST(CASE WHEN regexp_matches(t, '[+-]\\d{2}:?\\d{2}$') THEN t ELSE t || '+00:00' END AS TIMESTAMPTZ))
+        WHEN tweet <> '' THEN epoch(try_strptime(tweet, '%b %d %H:%M:%S %z %Y')) WHEN words <> '' THEN epoch(try_strptime(words, '%d %b %Y, %H:%M:%S')) END, 3) AS ts FROM k""",
     "meta_score": f"WITH {SQL_PHOTO} SELECT photo_id, round({SQL_SCORE}, 6) AS score FROM photo",
     "names_and_kinds": f"""WITH {SQL_PHOTO}, p AS (SELECT *, string_split(uri, '::')[-1] AS path FROM photo WHERE uri IS NOT NULL), q AS (SELECT *, string_split(path, '/')[-1] AS name, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM p)
       SELECT photo_id, name, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lifeweave.functions.geo import lat_of, world_x, world_y, zoom_for_bbox
 from lifeweave.operators import frames as ops
+from lifeweave.operators.adjacent import numbered, running_sum, windowed, with_neighbours
 from lifeweave.plans.common import SQL_FIX, SQL_PHOTO, fixes, photos
 
 FPS, INTRO, OUTRO, HOLD, HOLD_VIDEO, TRANS = 10, 5.0, 6.0, 2.2, 4.0, 1.0
@@ -118,8 +119,8 @@ def contact_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("person").orderBy("t", "fix_id"))
-    return fixes(spark, sf_dir).select("person", "fix_id", "t", world_x("lon").alias("mx"), world_y("lat").alias("my"), n.alias("n"))
+    f = fixes(spark, sf_dir).select("person", "fix_id", "t", world_x("lon").alias("mx"), world_y("lat").alias("my"))
+    return numbered(f, "person", "t", "fix_id", "n")
 
 
 _MY = "(1 - ln(tan(radians(least(greatest(lat, -85.0511), 85.0511))) + 1 / cos(radians(least(greatest(lat, -85.0511), 85.0511)))) / pi()) / 2"
@@ -127,8 +128,8 @@ _SQL_NUMBERED = f"{SQL_FIX}, num AS (SELECT person, fix_id, t, (lon + 180.0) / 3
 
 
 def _boxes(spark: SparkSession, sf_dir: str, half: int = 25) -> DataFrame:
-    w = Window.partitionBy("person").orderBy("n").rowsBetween(-half, half)
-    return _numbered(spark, sf_dir).select("person", "n", "fix_id", F.min("mx").over(w).alias("x0"), F.min("my").over(w).alias("y0"), F.max("mx").over(w).alias("x1"), F.max("my").over(w).alias("y1"))
+    over = {n: (lambda w, f=f, c=c: f(c).over(w.rowsBetween(-half, half))) for n, f, c in (("x0", F.min, "mx"), ("y0", F.min, "my"), ("x1", F.max, "mx"), ("y1", F.max, "my"))}
+    return windowed(_numbered(spark, sf_dir), "person", "n", half, over).select("person", "n", "fix_id", *over)
 
 
 def sliding_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,24 +141,28 @@ def sliding_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 def smooth_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaussian smoothing over neighbouring fixes, ends repeated."""
     k = ops.kernel(2.0)
-    return _numbered(spark, sf_dir).select("fix_id", *[F.round(ops.smoothed(F.col(c), k, "person", "n"), 9).alias(c) for c in ("mx", "my")])
+    even = {f"s{c}": (lambda w, c=c: ops.evened(c, k, ["person", "__block"], "n")) for c in ("mx", "my")}
+    return windowed(_numbered(spark, sf_dir), "person", "n", len(k) // 2, even).select("fix_id", F.round("smx", 9).alias("mx"), F.round("smy", 9).alias("my"))
 
 
 def visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moving share of fixes that follow the one before within fifteen minutes, and the last such fix (else the first)."""
-    w = Window.partitionBy("person").orderBy("n")
-    ok = F.coalesce(F.col("t") - F.lag("t").over(w) <= 900, F.lit(False))
-    f = _numbered(spark, sf_dir).withColumn("ok", ok)
-    seen = F.coalesce(F.last(F.when(F.col("ok"), F.col("fix_id")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("fix_id").over(w))
-    return f.select("fix_id", F.round(F.avg(F.col("ok").cast("double")).over(w.rowsBetween(-5, 5)), 6).alias("share"), seen.alias("from_fix"))
+    f = with_neighbours(_numbered(spark, sf_dir), "person", "t", "fix_id", ["t", "fix_id"])
+    ok = F.coalesce(F.col("t") - F.col("prev.t") <= 900, F.lit(False))
+    f = f.withColumn("ok", ok).withColumn("good", F.when(F.col("ok"), F.col("fix_id"))).drop("prev", "next")
+    f = with_neighbours(f, "person", "t", "fix_id", ["n"], known=["good"])
+    first = f.where("n = 1").select("person", F.col("fix_id").alias("first"))
+    f = f.join(first, "person").withColumn("seen_fix", F.coalesce("good", "seen.good", "first"))
+    f = windowed(f, "person", "n", 5, {"share": lambda w: F.avg(F.col("ok").cast("double")).over(w.rowsBetween(-5, 5))})
+    return f.select("fix_id", F.round("share", 6).alias("share"), F.col("seen_fix").alias("from_fix"))
 
 
 def trail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trail of every fix: how many of the last fifty points and the age of the oldest; at least two points."""
     age = F.least(F.col("n") - 1, F.lit(50))
-    w = Window.partitionBy("person").orderBy("n").rowsBetween(-50, 0)
-    f = _numbered(spark, sf_dir).select("fix_id", F.count("*").over(w).alias("points"), F.round(age / 50, 4).alias("oldest"), F.round(F.max("mx").over(w) - F.min("mx").over(w), 9).alias("width"))
-    return f.where("points >= 2")
+    last = lambda w: w.rowsBetween(-50, 0)
+    f = windowed(_numbered(spark, sf_dir), "person", "n", 50, {"points": lambda w: F.count("*").over(last(w)), "width": lambda w: F.max("mx").over(last(w)) - F.min("mx").over(last(w))})
+    return f.where("points >= 2").select("fix_id", "points", F.round(age / 50, 4).alias("oldest"), F.round("width", 8).alias("width"))
 
 
 def frame_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,12 +182,13 @@ def best_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prune_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cached clips to delete, least recently used first, until a person's rest fits two hundred megabytes; favorites stay."""
+    """Cached clips to delete, least recently used first, until a person's rest fits two hundred megabytes; favorites stay.
+    Sizes follow from ids, as the table holds none."""
     v = photos(spark, sf_dir).where("kind = 'video'").select("person", "photo_id", "favorite", "ts", ((F.col("photo_id") % 50 + 5) * 1_000_000).alias("bytes"))
-    w = Window.partitionBy("person")
-    total = F.sum("bytes").over(w)
-    freed = F.sum(F.when(F.col("favorite"), 0).otherwise(F.col("bytes"))).over(w.orderBy("ts", "photo_id").rowsBetween(Window.unboundedPreceding, -1))
-    return v.withColumns({"total": total, "freed": F.coalesce(freed, F.lit(0))}).where("NOT favorite AND total - freed > 200000000").select("photo_id", "bytes")
+    total = v.groupBy("person").agg(F.sum("bytes").alias("total"))
+    freed = F.when(F.col("favorite"), 0).otherwise(F.col("bytes"))
+    v = running_sum(v, "person", "ts", "photo_id", freed, "freed", bucket=30 * 86_400.0).join(total, "person")
+    return v.where(F.col("total") - (F.col("freed") - freed) > 200_000_000).where("NOT favorite").select("photo_id", "bytes")
 
 
 def scale_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +239,7 @@ SQL: dict[str, str] = {
     "visibility": f"""WITH {_SQL_NUMBERED}, o AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY person ORDER BY n) <= 900, false) AS ok FROM num)
       SELECT fix_id, round(avg(CAST(ok AS DOUBLE)) OVER (PARTITION BY person ORDER BY n ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 6) AS share,
         coalesce(last_value(CASE WHEN ok THEN fix_id END IGNORE NULLS) OVER (PARTITION BY person ORDER BY n ROWS UNBOUNDED PRECEDING), first_value(fix_id) OVER (PARTITION BY person ORDER BY n)) AS from_fix FROM o""",
-    "trail": f"""WITH {_SQL_NUMBERED}, x AS (SELECT fix_id, n, count(*) OVER w AS points, round(least(n - 1, 50) / 50, 4) AS oldest, round(max(mx) OVER w - min(mx) OVER w, 9) AS width FROM num WINDOW w AS (PARTITION BY person ORDER BY n ROWS BETWEEN 50 PRECEDING AND CURRENT ROW))
+    "trail": f"""WITH {_SQL_NUMBERED}, x AS (SELECT fix_id, n, count(*) OVER w AS points, round(least(n - 1, 50) / 50, 4) AS oldest, round(max(mx) OVER w - min(mx) OVER w, 8) AS width FROM num WINDOW w AS (PARTITION BY person ORDER BY n ROWS BETWEEN 50 PRECEDING AND CURRENT ROW))
       SELECT fix_id, points, oldest, width FROM x WHERE points >= 2""",
     "frame_tiles": f"""WITH {_SQL_BOX}, v AS (SELECT DISTINCT round((x0 + x1) / 2, 5) AS cx, round((y0 + y1) / 2, 5) AS cy, CAST(floor({_ZOOM}) AS BIGINT) AS zoom FROM box), l AS (SELECT *, 'base' AS layer, CAST(zoom AS INT) AS z FROM v UNION ALL SELECT *, 'labels', CAST(greatest(zoom - 1, 0) AS INT) FROM v),
       e AS (SELECT layer, z, CAST(floor((cx * 256 * pow(2, z) - 480 / pow(2.0, zoom - z)) / 256) AS BIGINT) AS xa, CAST(floor((cx * 256 * pow(2, z) + 480 / pow(2.0, zoom - z)) / 256) AS BIGINT) AS xb, CAST(floor((cy * 256 * pow(2, z) - 270 / pow(2.0, zoom - z)) / 256) AS BIGINT) AS ya, CAST(floor((cy * 256 * pow(2, z) + 270 / pow(2.0, zoom - z)) / 256) AS BIGINT) AS yb, CAST(pow(2, z) AS BIGINT) AS side FROM l)

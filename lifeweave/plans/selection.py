@@ -112,9 +112,8 @@ def period_quota_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.mapInPandas(give, "person string, period bigint, items bigint, quota bigint")
 
 
-def _weighted(items: DataFrame) -> DataFrame:
+def _weighted(events: DataFrame) -> DataFrame:
     """Events with their weight and their rank within the period of their start."""
-    events = _events(items)
     home = home_cells(events, "person").select("person", "home_lat", "home_lon")
     events = events.join(home, "person", "left")
     far = F.coalesce(flat_km("lat", "lon", "home_lat", "home_lon") > 100, F.lit(False))
@@ -131,12 +130,12 @@ weighted AS (SELECT *, row_number() OVER (PARTITION BY person, period ORDER BY r
 
 def event_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight and rank of every event within its period."""
-    return _weighted(_items(spark, sf_dir)).select("person", "period", "event", F.round("weight", 6).alias("weight"), "rank")
+    return _weighted(_events(_items(spark, sf_dir))).select("person", "period", "event", F.round("weight", 6).alias("weight"), "rank")
 
 
-def _event_quota(items: DataFrame) -> DataFrame:
+def _event_quota(items: DataFrame, events: DataFrame | None = None) -> DataFrame:
     quotas = _period_quota(items).select("person", "period", F.col("quota").alias("q")).where("q > 0")
-    events = _weighted(items).join(quotas, ["person", "period"])
+    events = checkpoint(_weighted(_events(items) if events is None else events)).join(quotas, ["person", "period"])
     top = events.where("rank <= q").withColumn("cap", F.greatest(F.lit(1), F.floor(F.col("size") / 3)).cast("bigint"))
     top = largest_remainder(top, ["person", "period"], "weight", "cap", "q", "rank", "quota").select("person", "period", "event", "rank", "quota", "q")
     short = top.groupBy("person", "period").agg(F.max("q").alias("q"), F.sum("quota").alias("given")).where("given < q")
@@ -163,7 +162,8 @@ eq AS (SELECT person, period, event, rank, quota FROM tq WHERE quota > 0
 def representative_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the events that represent each person's life, period by period, with their places and quotas."""
     items = _items(spark, sf_dir)
-    return _event_quota(items).join(_events(items), ["person", "event"]).select("person", "period", "event", "quota", "size", "t0", "t1", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+    events = checkpoint(_events(items))
+    return _event_quota(items, events).join(events, ["person", "event"]).select("person", "period", "event", "quota", "size", "t0", "t1", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:

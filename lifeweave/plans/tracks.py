@@ -13,7 +13,7 @@ from lifeweave.operators import places as ops
 from lifeweave.operators import track
 from lifeweave.operators.asof import nearest, neighbours, position_at
 from lifeweave.plans.common import SQL_FIX, SQL_PHOTO, fixes, photos, sql_haversine
-from lifeweave.session import table
+from lifeweave.session import checkpoint, table
 
 
 def teleport_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,8 @@ _SQL_CLEAN = SQL_FIX + "," + _sql_teleport("fix", "c1") + "," + _sql_teleport("c
 
 def thin_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixes left after cleaning and thinning."""
-    return track.thin(track.drop_teleports(fixes(spark, sf_dir))).select("fix_id", "person")
+    clean = checkpoint(track.drop_teleports(fixes(spark, sf_dir)))  # read three times below
+    return track.thin(clean).select("fix_id", "person")
 
 
 _SQL_THIN = """
@@ -159,7 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (teleport_filter, thin_track, daily_track, track_km, track_union, nearest_fix_asof, position_at_loose, position_at_strict, photo_in_place, nearest_city, place_captions, countries_visited, full_captions)
 }
 SQL_PLACE = "place AS (SELECT place_id, person, t0, t1, lat, lon, name, source FROM places WHERE person IS NOT NULL AND t0 IS NOT NULL AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (abs(lat) < 1e-6 AND abs(lon) < 1e-6))"
-_SQL_INSQL_PLACE = f"""{SQL_PHOTO}, {SQL_PLACE},
+_SQL_IN_PLACE = f"""{SQL_PHOTO}, {SQL_PLACE},
 hit AS (SELECT photo_id, max(struct_pack(t0 := p.t0, place_id := p.place_id, name := CASE WHEN p.name = 'Inferred Home' THEN 'Home' WHEN p.name = 'Inferred Work' THEN 'Work' ELSE p.name END)) AS m
   FROM photo q JOIN place p ON p.person = q.person AND p.t0 - 1800 <= q.ts AND q.ts <= coalesce(p.t1, p.t0) + 1800 AND p.t0 >= q.ts - 86400 AND (q.lat IS NULL OR abs(p.lat - q.lat) + abs(p.lon - q.lon) < 0.02)
   WHERE coalesce(p.name, '') <> '' GROUP BY photo_id)"""
@@ -180,7 +181,13 @@ SQL: dict[str, str] = {
       SELECT photo_id, round(gap, 3) AS gap, round(v.lat, 6) AS lat, round(v.lon, 6) AS lon FROM f WHERE gap <= 10800""",
     "position_at_loose": f"WITH {_SQL_WORLD}, {sql_positions(False)} SELECT photo_id, round(degrees(atan(sinh(pi() * (1 - 2 * y)))), 5) AS lat, round(x * 360.0 - 180.0, 5) AS lon FROM pos WHERE x IS NOT NULL",
     "position_at_strict": f"WITH {_SQL_WORLD}, {sql_positions(True)} SELECT photo_id, round(degrees(atan(sinh(pi() * (1 - 2 * y)))), 5) AS lat, round(x * 360.0 - 180.0, 5) AS lon FROM pos WHERE x IS NOT NULL",
-    "photo_in_place": f"WITH {_SQL_INSQL_PLACE} SELECT photo_id, m.place_id AS place_id, m.name AS name FROM hit",
+    "photo_in_place": f"WITH {_SQL_IN_PLACE} SELECT photo_id, m.place_id AS place_id, m.name AS name FROM hit",
     "countries_visited": f"WITH {SQL_PHOTO}, {SQL_PLACE}, {SQL_TOWN} SELECT person, CAST(CAST(floor(t.tlat / 30) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(floor(t.tlon / 30) AS BIGINT) AS VARCHAR) AS cc, count(*) AS n FROM near JOIN photo USING (photo_id) JOIN town t ON t.town = m.town AND t.tlat = m.tlat GROUP BY ALL",
+    "place_captions": f"""WITH {_SQL_IN_PLACE}, {SQL_TOWN}, d AS (SELECT *, (DATE '1970-01-01' + CAST(floor((ts + coalesce(round_even(lon / 15, 0), 0) * 3600) / 86400) AS INT)) AS d FROM photo)
+      SELECT d.photo_id, strftime(d, '%-d %B %Y') AS date, coalesce(h.m.name, n.m.town, '') AS place, substring(description, 1, 160) AS caption FROM d LEFT JOIN hit h USING (photo_id) LEFT JOIN near n USING (photo_id)""",
+    "full_captions": f"""WITH {_SQL_IN_PLACE}, {SQL_TOWN}, cell AS (SELECT photo_id, m.town AS town, CAST(CAST(floor(t.tlat / 30) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(floor(t.tlon / 30) AS BIGINT) AS VARCHAR) AS cc, CAST(CAST(floor(t.tlat / 10) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(floor(t.tlon / 10) AS BIGINT) AS VARCHAR) AS region FROM near JOIN town t ON t.town = m.town AND t.tlat = m.tlat),
+      spots AS (SELECT p.photo_id, p.person, town, cc, region, h.m.name AS name FROM photo p LEFT JOIN cell USING (photo_id) LEFT JOIN hit h ON h.photo_id = p.photo_id), home AS (SELECT person, arg_max(cc, struct_pack(n := n, cc := cc)) AS home FROM (SELECT person, cc, count(*) AS n FROM spots WHERE cc IS NOT NULL GROUP BY ALL) GROUP BY person),
+      w AS (SELECT photo_id, town, name, CASE WHEN cc = home THEN town || ', ' || region ELSE town || ', Country ' || cc END AS spot FROM spots LEFT JOIN home USING (person))
+      SELECT photo_id, CASE WHEN town IS NULL THEN coalesce(name, '') WHEN name <> '' AND name <> town THEN name || ' · ' || spot ELSE spot END AS place FROM w""",
     "nearest_city": f"WITH {SQL_PHOTO}, {SQL_PLACE}, {SQL_TOWN} SELECT photo_id, m.town AS town, m.km AS km FROM near",
 }

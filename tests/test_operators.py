@@ -271,3 +271,43 @@ def test_camera(spark):
     assert len(got) == 780
     for (k, f), v in got.items():
         assert v == pytest.approx(want[k][f], abs=1e-9), (k, f)
+
+
+def test_windows_over_blocks_equal_whole_windows(spark):
+    from pyspark.sql import Window
+
+    r = random.Random(14)
+    data = [(r.choice("aaaab"), float(r.randint(0, 10**6)), i, r.random()) for i in range(400)]
+    df = spark.createDataFrame(data, "k string, t double, id long, v double")
+    n = adjacent.numbered(df, "k", "t", "id", "n", bucket=50_000.0)
+    got = {x["id"]: x for x in adjacent.windowed(n, "k", "n", 7, {"low": lambda w: F.min("v").over(w.rowsBetween(-7, 7)), "even": lambda w: frames.evened("v", frames.kernel(2.0), ["k", "__block"], "n")}, block=25).collect()}
+    w = Window.partitionBy("k").orderBy("n")
+    want = n.select("id", "n", F.row_number().over(Window.partitionBy("k").orderBy("t", "id")).alias("m"), F.min("v").over(w.rowsBetween(-7, 7)).alias("low"), frames.evened("v", frames.kernel(2.0), ["k"], "n").alias("even")).collect()
+    assert len(got) == 400 and all(x["n"] == x["m"] and got[x["id"]]["low"] == x["low"] and got[x["id"]]["even"] == pytest.approx(x["even"]) for x in want)
+
+
+def test_percentiles(spark):
+    import numpy as np
+
+    r = random.Random(15)
+    data = [(k, v) for k, n in (("a", 500), ("b", 1), ("c", 2), ("d", 300)) for v in ([1.5] * n if k == "d" else [r.gauss(0, 50) for _ in range(n)])] + [("e", None), (None, 1.0), ("a", float("nan"))]
+    df = spark.createDataFrame(data, "k string, v double")
+    got = {x["k"]: (x["p"], x["q"]) for x in adjacent.percentiles(df, "k", "v", {"p": 0.013, "q": 0.5}, 7.0).collect()}
+    assert sorted(got) == list("abcd")
+    for k, v in got.items():
+        mine = [x for q, x in data if q == k and x is not None and x == x]
+        assert v == pytest.approx(tuple(np.quantile(mine, [0.013, 0.5])))
+
+
+def test_recursive_repair():
+    from lifeweave.functions import scalar
+
+    assert scalar.mend_tree('{"CafÃ©": ["Ã©", 1, null, {"a": "ok ъ"}]}') == '{"Café": ["é", 1, null, {"a": "ok ъ"}]}' and scalar.mend_tree("no json") == "no json"
+
+
+def test_positions_in_any_form(spark):
+    from lifeweave.sources import google
+
+    forms = ["+12.5°, +45.6°", "geo:12.5,45.6", '{"latitudeE7": 125000000, "longitudeE7": 456000000}', '{"placeLocation": {"latLng": "12.5°, 45.6°"}}', '{"placeLocation": "geo:12.5,45.6"}']
+    df = spark.createDataFrame([(x,) for x in forms], "p string")
+    assert {tuple(x) for x in df.select(*google.latlng(F.col("p"))).collect()} == {(12.5, 45.6)}
