@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lifeweave.functions.geo import c, valid_latlon
 
-# File extensions of media, suffixes of edited copies, and titles that mark captures and received media.
+# Fixed values, as results depend on them: file extensions of media, the forms of date and time in file names (year to second,
+# with the separators that cameras write), suffixes of edited copies, and titles that mark captures and received media.
 IMAGE_EXT = ["jpg", "jpeg", "png", "heic", "heif", "webp", "tif", "tiff", "gif", "bmp"]
 VIDEO_EXT = ["mp4", "mov", "m4v", "3gp", "avi", "mkv", "mts", "webm"]
 FILE_TIME = r"(?<!\d)((?:19|20)\d{2})[-_.]?(\d{2})[-_.]?(\d{2})[-_ T.]?(\d{2})[-_.:]?(\d{2})[-_.:]?(\d{2})(?!\d{3,})"

@@ -23,7 +23,7 @@ def _ordered(df: DataFrame, keys: list[str]) -> DataFrame:
 
     A hash of the other columns ends the range key: rows of one key, start and end are spread over partitions too. That
     leaves their order, and so the scan, as it is."""
-    n = scan_partitions(df.sparkSession)
+    n = scan_partitions(df)
     order = [*keys, "__s", "__e"]
     others = [F.col(f"`{c}`") for c in df.columns if c not in order]
     spread = [F.xxhash64(*others)] if others else []

@@ -9,8 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: No SQL operator here needs more partitions than this for its one-row-per-partition summaries to stay small.
-MAX_SCAN_PARTITIONS = 20_000
+#: An ordered scan has at most so many partitions, since each sends one summary row to the driver; and so many bytes of the
+#: files that it reads in each.
+MAX_SCAN_PARTITIONS, SCAN_BYTES = 100_000, 256 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None) -> DataFrame:
@@ -47,9 +48,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/written/{name}-{uuid.uuid4().hex}"
 
 
-def scan_partitions(spark: SparkSession) -> int:
-    """Range partitions for an ordered scan: as many as a shuffle has, so that no task holds more than a shuffle task does."""
-    return max(1, min(MAX_SCAN_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+def scan_partitions(df: DataFrame) -> int:
+    """Range partitions for an ordered scan of ``df``: as many as a shuffle has, or more where the files that the plan reads ask
+    for them (what comes from checkpoints has no size worth trusting and isn't counted)."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    files = [leaves.apply(i) for i in range(leaves.size())]
+    size = sum(int(str(x.stats().sizeInBytes())) for x in files if x.getClass().getSimpleName() == "LogicalRelation")
+    return max(1, min(MAX_SCAN_PARTITIONS, max(least, -(-size // SCAN_BYTES))))
 
 
 def nullable(schema: T.StructType) -> T.StructType:

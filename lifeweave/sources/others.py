@@ -15,6 +15,7 @@ from lifeweave.functions.geo import valid_latlon
 from lifeweave.operators.track import GPX
 from lifeweave.sources.archives import text_of
 
+# Paths of an archive's members.
 TWEETS = r"(^|/)data/tweets?(-part\d+)?\.js$"
 TWEET_MEDIA = r"data/tweets?_media/(\d+)-[^/]+$"
 DIRECT = r"(^|/)data/direct-messages(-part\d+)?\.js$"

@@ -18,14 +18,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lifeweave.operators.track import KEPT_SOURCES, THIN_M2, THIN_S
 from lifeweave.session import ensure_checkpoint_dir
 
+#: Bytes of files in one batch of a stream.
+BATCH_BYTES = 4 << 30
+
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of the folder as a stream of its files, with the schema of what is there."""
+    """A table of the folder as a stream of its files, at most BATCH_BYTES a batch, with the schema of what is there."""
     path = f"{folder}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     if os.path.isfile(path):
-        return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
-    return spark.readStream.schema(schema).parquet(path)
+        return spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(path)
 
 
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
