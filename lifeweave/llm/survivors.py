@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lifeweave.functions import scalar
 from lifeweave.operators.intervals import label_islands
+from lifeweave.session import checkpoint
 
 #: Distinct values, or profiles, that one alignment takes at a time.
 BLOCK = 200
@@ -179,7 +180,7 @@ def consensus_values(values: DataFrame, key: list[str], field: str = "field", va
     tokens = lambda c: F.split(F.trim(F.lower(c)), r"\s+|(?<=[^\p{L}\p{N}])|(?=[^\p{L}\p{N}])")
     distinct = values.where(F.trim(F.col(value)) != "").groupBy(*group, value).agg(F.sum(weight).alias("w"))
     counts = distinct.groupBy(*group).agg(F.count("*").alias("n"))
-    sized = distinct.join(counts, group)
+    sized = checkpoint(distinct.join(counts, group))  # read by all that follows
     sure = sized.where("n = 1").select(*group, F.col(value).alias("value"))
     open_ = sized.where("n > 1")
     most = open_.agg(F.max("n")).first()[0] or 0
@@ -217,10 +218,12 @@ def built_records(photos: DataFrame) -> DataFrame:
     album and uri (NULL where no row has a value), whether any row is a favorite, and the number of rows."""
     key = ["person", "kind", "stem", "island"]
     fields = ["title", "description", "album", "uri"]
-    # the better a row, the more its values weigh
-    rows = shots(photos, {f: F.col(f).cast("string") for f in fields} | {"favorite": F.coalesce("favorite", F.lit(False)), "weight": (F.size(merits()) + 1).cast("double")})
-    rows = rows.withColumn("island", F.col("island").cast("string"))
+    # the better a row, the more its values weigh; shots are found by ids, and only rows of several get their texts
+    rows = shots(photos, {"favorite": F.coalesce("favorite", F.lit(False)), "weight": (F.size(merits()) + 1).cast("double")})
+    rows = checkpoint(rows.withColumn("island", F.col("island").cast("string")))
     heads = rows.groupBy(*key).agg(F.min("photo_id").alias("first_id"), F.count("*").alias("members"), F.bool_or("favorite").alias("favorite")).where("members > 1")
-    long = rows.select(*key, "weight", F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f))])).alias("field", "value"))
+    texts = photos.select("photo_id", *[F.col(f).cast("string").alias(f) for f in fields])
+    told = rows.join(heads.select(*key), key, "left_semi").select("photo_id", *key, "weight").join(texts, "photo_id")
+    long = told.select(*key, "weight", F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f))])).alias("field", "value"))
     chosen = consensus_values(long, key).groupBy(*key).pivot("field", fields).agg(F.first("value"))
     return heads.join(chosen, key, "left").select("first_id", "members", "favorite", *fields)
