@@ -158,11 +158,12 @@ def visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trail of every fix: how many of the last fifty points and the age of the oldest; at least two points."""
+    """The trail of every fix: how many of the last fifty points, the age of the oldest and the width, cut (not rounded, as
+    engines round halves differently) after nine places; at least two points."""
     age = F.least(F.col("n") - 1, F.lit(50))
     last = lambda w: w.rowsBetween(-50, 0)
     f = windowed(_numbered(spark, sf_dir), "person", "n", 50, {"points": lambda w: F.count("*").over(last(w)), "width": lambda w: F.max("mx").over(last(w)) - F.min("mx").over(last(w))})
-    return f.where("points >= 2").select("fix_id", "points", F.round(age / 50, 4).alias("oldest"), F.round("width", 8).alias("width"))
+    return f.where("points >= 2").select("fix_id", "points", F.round(age / 50, 4).alias("oldest"), (F.floor(F.col("width") * 1e9) / 1e9).alias("width"))
 
 
 def frame_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +240,7 @@ SQL: dict[str, str] = {
     "visibility": f"""WITH {_SQL_NUMBERED}, o AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY person ORDER BY n) <= 900, false) AS ok FROM num)
       SELECT fix_id, round(avg(CAST(ok AS DOUBLE)) OVER (PARTITION BY person ORDER BY n ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 6) AS share,
         coalesce(last_value(CASE WHEN ok THEN fix_id END IGNORE NULLS) OVER (PARTITION BY person ORDER BY n ROWS UNBOUNDED PRECEDING), first_value(fix_id) OVER (PARTITION BY person ORDER BY n)) AS from_fix FROM o""",
-    "trail": f"""WITH {_SQL_NUMBERED}, x AS (SELECT fix_id, n, count(*) OVER w AS points, round(least(n - 1, 50) / 50, 4) AS oldest, round(max(mx) OVER w - min(mx) OVER w, 8) AS width FROM num WINDOW w AS (PARTITION BY person ORDER BY n ROWS BETWEEN 50 PRECEDING AND CURRENT ROW))
+    "trail": f"""WITH {_SQL_NUMBERED}, x AS (SELECT fix_id, n, count(*) OVER w AS points, round(least(n - 1, 50) / 50, 4) AS oldest, floor((max(mx) OVER w - min(mx) OVER w) * 1e9) / 1e9 AS width FROM num WINDOW w AS (PARTITION BY person ORDER BY n ROWS BETWEEN 50 PRECEDING AND CURRENT ROW))
       SELECT fix_id, points, oldest, width FROM x WHERE points >= 2""",
     "frame_tiles": f"""WITH {_SQL_BOX}, v AS (SELECT DISTINCT round((x0 + x1) / 2, 5) AS cx, round((y0 + y1) / 2, 5) AS cy, CAST(floor({_ZOOM}) AS BIGINT) AS zoom FROM box), l AS (SELECT *, 'base' AS layer, CAST(zoom AS INT) AS z FROM v UNION ALL SELECT *, 'labels', CAST(greatest(zoom - 1, 0) AS INT) FROM v),
       e AS (SELECT layer, z, CAST(floor((cx * 256 * pow(2, z) - 480 / pow(2.0, zoom - z)) / 256) AS BIGINT) AS xa, CAST(floor((cx * 256 * pow(2, z) + 480 / pow(2.0, zoom - z)) / 256) AS BIGINT) AS xb, CAST(floor((cy * 256 * pow(2, z) - 270 / pow(2.0, zoom - z)) / 256) AS BIGINT) AS ya, CAST(floor((cy * 256 * pow(2, z) + 270 / pow(2.0, zoom - z)) / 256) AS BIGINT) AS yb, CAST(pow(2, z) AS BIGINT) AS side FROM l)
