@@ -225,7 +225,7 @@ def _sql_score(aspects: list[str], w: int, h: int, gap: int) -> str:
 
 
 #: Areas of photos at 1920 by 1080: width together, width of a side, height.
-_ROW, _SIDE, _TALL, _GAP = 1872, 929, 589, 14
+_ROW, _SIDE, _TALL, _GAP = 1872, 929, 601, 14
 _C = f"WITH {_SQL_COMPANY}"
 _STATS = f"""{{grid}}, s AS (SELECT person, day, lat, lon, day - lag(day) OVER w AS gap, {sql_haversine("lag(lat) OVER w", "lag(lon) OVER w", "lat", "lon")} AS leg FROM days WHERE together >= 6 WINDOW w AS (PARTITION BY person ORDER BY day)),
       t AS (SELECT person, count(*) AS days_together, CAST(greatest(coalesce(max(gap) - 1, 0), 0) AS BIGINT) AS longest_apart, CAST(round_even(coalesce(sum(leg) FILTER (gap = 1), 0) / 1000, 0) AS BIGINT) AS km_together FROM s GROUP BY person),

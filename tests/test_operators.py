@@ -207,7 +207,7 @@ def test_media_functions(spark):
     assert one.select(media.clip_usable(F.lit(2 << 30), F.lit(False), F.lit(5.0)), media.clip_usable(F.lit(2 << 30), F.lit(True), F.lit(5.0)), media.clip_usable(F.lit(1), F.lit(True), F.lit(1.9)), media.even(F.lit(5.1))).first()[:] == (False, True, False, 6)
     assert media.max_videos(0.15, 120) == 18
     r = {n: tuple(one.select(media.pair_area(n, F.lit(1920), F.lit(1080)).alias("r")).first()["r"]) for n in media.PAIR_AREAS}
-    assert r["photos_together"] == (24, 24, 1872, 589) and r["maps_right"] == (967, 627, 929, 400) == (1920 - 24 - 929, *r["maps_left"][1:])
+    assert r["photos_together"] == (24, 24, 1872, 601) and r["maps_right"] == (967, 639, 929, 388) == (1920 - 24 - 929, *r["maps_left"][1:])
     line = np.array([[0.0, 0.0], [10.0, 0.0], [500.0, 0.0]])
     assert (media.offset_line(line, 3.0)[:, 1] == 3).all() and len(media.with_arcs(line, 100.0)) == 25 and media.with_arcs(line, 100.0)[:, 1].min() < -10
 
