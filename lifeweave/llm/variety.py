@@ -132,8 +132,9 @@ def varied_subset(photos: DataFrame, size: int, cell: float = 0.5, occasion: flo
                 out += [(person, m, p, q) for (m, p, _, _), q in zip(combos, quotas(combos, size)) if q]
             yield pd.DataFrame(out, columns=["person", "week", "place", "quota"])
 
-    # a few rows each, but much work: spread over a fixed number of tasks, which isn't cut by their size
-    plan = groups.repartition(scan_partitions(photos), "person").mapInPandas(solve, "person string, week string, place string, quota bigint")
+    # a few rows each, but much work: spread over a fixed number of tasks, which isn't cut by their size (a hash of another
+    # form than that of the grouping, whose own exchange would else stand for this one)
+    plan = groups.repartition(scan_partitions(photos), F.xxhash64("person")).mapInPandas(solve, "person string, week string, place string, quota bigint")
     # an occasion's first record comes before any occasion's second one; both limits hold before the shuffle too
     repeat = F.row_number().over(Window.partitionBy(*key, "occasion").orderBy(F.desc("liked"), "chance", "photo_id"))
     some = rows.withColumn("repeat", repeat).where(F.col("repeat") <= size)
