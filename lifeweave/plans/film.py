@@ -11,6 +11,7 @@ from lifeweave.functions.geo import lat_of, world_x, world_y, zoom_for_bbox
 from lifeweave.operators import frames as ops
 from lifeweave.operators.adjacent import numbered, running_sum, windowed, with_neighbours
 from lifeweave.plans.common import SQL_FIX, SQL_PHOTO, fixes, photos
+from lifeweave.session import checkpoint
 
 FPS, INTRO, OUTRO, HOLD, HOLD_VIDEO, TRANS = 10, 5.0, 6.0, 2.2, 4.0, 1.0
 
@@ -43,8 +44,10 @@ def _world(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixes(spark, sf_dir).select("person", "t", world_x("lon").alias("mx"), world_y("lat").alias("my"))
 
 
-def _motion(spark: SparkSession, sf_dir: str, track: DataFrame) -> DataFrame:
-    return ops.motion(frame_anchors(spark, sf_dir), frame_segments(spark, sf_dir), track, "person")
+def _film(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Segments and keyframes, computed once for all that a film needs them for."""
+    segs = checkpoint(frame_segments(spark, sf_dir))
+    return segs, checkpoint(ops.anchors(segs, _slots(spark, sf_dir), "person"))
 
 
 def _photo_world(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,25 +62,29 @@ def _track(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frame_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clock and position of every frame."""
-    out = _motion(spark, sf_dir, _track(spark, sf_dir))
+    segs, keys = _film(spark, sf_dir)
+    out = ops.motion(keys, segs, _track(spark, sf_dir), "person")
     return out.select("person", "frame", F.round("tau", 3).alias("tau"), F.round("mx", 9).alias("mx"), F.round("my", 9).alias("my"))
 
 
-def _camera(spark: SparkSession, sf_dir: str, moves: DataFrame, dots: list[tuple[str, str]]) -> DataFrame:
-    frames = ops.film_frames(frame_segments(spark, sf_dir), "person").join(moves, ["person", "frame"], "left")
+def _camera(segs: DataFrame, moves: DataFrame, dots: list[tuple[str, str]]) -> DataFrame:
+    frames = ops.film_frames(segs, "person").join(moves, ["person", "frame"], "left")
     cam = ops.camera(frames, "person", dots, FPS, HOLD + TRANS)
     return cam.select("person", "frame", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), F.round("zoom", 3).alias("zoom"), F.round("visible", 3).alias("visible"))
 
 
 def film_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The camera that follows each film's dot, on every frame."""
-    return _camera(spark, sf_dir, _motion(spark, sf_dir, _track(spark, sf_dir)), [("mx", "my")])
+    segs, keys = _film(spark, sf_dir)
+    return _camera(segs, ops.motion(keys, segs, _track(spark, sf_dir), "person"), [("mx", "my")])
 
 
 def joint_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The camera of a film for two, which keeps both dots in view; the second is that of the photos' own track."""
-    other = _motion(spark, sf_dir, _photo_world(spark, sf_dir)).select("person", "frame", F.col("mx").alias("nx"), F.col("my").alias("ny"))
-    return _camera(spark, sf_dir, _motion(spark, sf_dir, _track(spark, sf_dir)).join(other, ["person", "frame"], "full"), [("mx", "my"), ("nx", "ny")])
+    segs, keys = _film(spark, sf_dir)
+    own, at = _film(spark, sf_dir)
+    other = ops.motion(at, own, _photo_world(spark, sf_dir), "person").select("person", "frame", F.col("mx").alias("nx"), F.col("my").alias("ny"))
+    return _camera(segs, ops.motion(keys, segs, _track(spark, sf_dir), "person").join(other, ["person", "frame"], "full"), [("mx", "my"), ("nx", "ny")])
 
 
 def merge_curve(spark: SparkSession, sf_dir: str) -> DataFrame:

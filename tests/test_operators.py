@@ -273,6 +273,104 @@ def test_camera(spark):
         assert v == pytest.approx(want[k][f], abs=1e-9), (k, f)
 
 
+def read_of(df, column):
+    """How often the plan reads a table that has the column."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(f"{column}#" in leaves.apply(i).toString() for i in range(leaves.size()))
+
+
+def test_camera_streams_films_of_any_length(spark):
+    r = random.Random(16)
+    data, want = [], {}
+    # hidden for longer than a chunk at the start, in between and at the end; a film without any view; films of one frame
+    for film, n, shown in (("a", 1500, ((300, 620), (900, 1100), (1101, 1102))), ("b", 400, ()), ("c", 1, ((0, 1),)), ("d", 450, ((0, 450),))):
+        x, y, dot = 0.5, 0.4, []
+        for _ in range(n):
+            x, y = (x + r.uniform(-0.01, 0.01), y + r.uniform(-0.004, 0.004)) if r.random() < 0.2 else (x, y)
+            dot.append(None if r.random() < 0.01 else (x, y))
+        on = [any(a <= f < b for a, b in shown) for f in range(n)]
+        want[film] = plain_camera(on, [dot], 10, 3.2, 960, 540) if shown else []
+        data += [(film, f, on[f], *(dot[f] or (None, None))) for f in range(n)]
+    r.shuffle(data)
+    out = frames.camera(spark.createDataFrame(data, "k string, frame long, on boolean, x double, y double"), "k", [("x", "y")], 10, 3.2, 960, 540, chunk=60)
+    # a window over all later frames costs the square of a film's length; frames (and the motion they come from) are read once
+    assert read_of(out, "frame") == 1 and "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {(x["k"], x["frame"]): (x["cx"], x["cy"], x["zoom"], x["visible"]) for x in out.collect()}
+    assert sorted(got) == [(k, f) for k in "abcd" for f in range(len(want[k]))]
+    for (k, f), v in got.items():
+        assert v == pytest.approx(want[k][f], abs=1e-9), (k, f)
+
+
+def plain_motion(keys, n, track):
+    """Clock and position of each frame by plain loops; keys: frame, t, video; track: t, x, y."""
+    import numpy as np
+
+    track, days, out = sorted(track), {}, {}
+    for q in track:
+        days.setdefault(q[0] // 86_400, []).append(q)
+    daily = sorted(tuple(float(np.median(v)) for v in zip(*qs)) for qs in days.values())
+
+    def place(t):
+        prev, after = [q for q in track if q[0] <= t][-1:], [q for q in track if q[0] > t][:1]
+        if prev and after and after[0][0] - prev[0][0] <= 6 * 3600:
+            (a, *p), (b, *q) = prev[0], after[0]
+            return tuple(u + (t - a) / (b - a) * (v - u) for u, v in zip(p, q))
+        return prev[0][1:] if prev and t - prev[0][0] <= 2 * 86_400 else after[0][1:] if after and after[0][0] - t <= 2 * 86_400 else None
+
+    for f in range(keys[0][0]):
+        out[f] = (keys[0][1], place(keys[0][1]))
+    for f in range(keys[-1][0], n):
+        out[f] = (keys[-1][1], place(keys[-1][1]))
+    for (fa, ta, video), (fb, tb, _) in zip(keys, keys[1:]):
+        a, b = place(ta), place(tb)
+        way = []
+        if a and b:
+            way = [q for q in (track if tb - ta <= 2 * 86_400 else daily) if ta < q[0] <= tb]
+            way = [(ta, *a), *[q for i, q in enumerate(way) if len(way) <= 300 or not i or i * 299 // (len(way) - 1) > (i - 1) * 299 // (len(way) - 1)], (tb, *b)]
+        gone = np.cumsum([0.0, *[np.hypot(q[1] - p[1], q[2] - p[2]) for p, q in zip(way, way[1:])]])
+        for f in range(fa, fb):
+            u = (f - fa) / (fb - fa)
+            e = u * u * (3 - 2 * u)
+            if video:
+                out[f] = (ta + (tb - ta) * u, place(ta + (tb - ta) * u))
+            elif not way:
+                out[f] = (ta + (tb - ta) * e, a if f - fa < (fb - fa) // 2 else b)
+            elif gone[-1] == 0:
+                out[f] = (ta + (tb - ta) * e, a)
+            else:
+                t, x, y = (np.interp(e, gone / gone[-1], v) for v in zip(*way))
+                out[f] = (t if tb > ta else ta, (x, y))
+    return out
+
+
+def test_motion_over_blocks_of_time(spark):
+    r = random.Random(17)
+    edge = frames.BLOCK_S * 500
+    track, t = [], edge - 40 * 86_400
+    while t < edge + 50 * 86_400:
+        # dense near the edge of two blocks; elsewhere with silences of up to five days
+        t += r.uniform(60, 900) if abs(t - edge) < 2 * 86_400 else r.choice([600.0, 3600.0, 86_400.0, 5 * 86_400.0]) * r.random()
+        track.append((t, r.random(), r.random()))
+    track += [(track[5][0], 0.9, 0.9), (edge, 0.2, 0.3), (edge, 0.2, 0.4)]
+    times = sorted([r.uniform(edge - 45 * 86_400, edge + 55 * 86_400) for _ in range(25)] + [r.uniform(edge - 2 * 86_400, edge + 2 * 86_400) for _ in range(12)] + [edge, edge - 1.5 * 86_400, edge - 1])
+    keys, f = [], 7
+    for i, t in enumerate(times):
+        keys.append((f, t, i % 5 == 0))
+        f += r.randint(1, 30)
+    n = f + 9
+    data = {"a": (keys, track), "b": ([(2, times[3], False), (9, times[1], False), (12, times[30], False)], track), "c": (keys[:2], [])}
+    ks = spark.createDataFrame([(p, *x) for p, (k, _) in data.items() for x in k], "k string, frame long, t double, video boolean")
+    segs = spark.createDataFrame([(p, "hold", 0, 0, n) for p in data], "k string, kind string, slot long, f0 long, f1 long")
+    tr = spark.createDataFrame([(p, *x) for p, (_, q) in data.items() for x in q], "k string, t double, mx double, my double")
+    out = frames.motion(ks, segs, tr, "k")
+    assert read_of(out, "mx") == 1
+    got = {(x["k"], x["frame"]): (x["tau"], x["mx"], x["my"]) for x in out.collect()}
+    want = {(p, f): v for p, (k, q) in data.items() for f, v in plain_motion(k, n, q).items()}
+    assert sorted(got) == sorted(want)
+    for k, (t, at) in want.items():
+        assert got[k] == ((pytest.approx(t, abs=1e-3), None, None) if at is None else (pytest.approx(t, abs=1e-3), pytest.approx(at[0], abs=1e-9), pytest.approx(at[1], abs=1e-9))), k
+
+
 def test_windows_over_blocks_equal_whole_windows(spark):
     from pyspark.sql import Window
 
