@@ -82,8 +82,7 @@ def film_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
 def joint_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The camera of a film for two, which keeps both dots in view; the second is that of the photos' own track."""
     segs, keys = _film(spark, sf_dir)
-    own, at = _film(spark, sf_dir)
-    other = ops.motion(at, own, _photo_world(spark, sf_dir), "person").select("person", "frame", F.col("mx").alias("nx"), F.col("my").alias("ny"))
+    other = ops.motion(keys, segs, _photo_world(spark, sf_dir), "person").select("person", "frame", F.col("mx").alias("nx"), F.col("my").alias("ny"))
     return _camera(segs, ops.motion(keys, segs, _track(spark, sf_dir), "person").join(other, ["person", "frame"], "full"), [("mx", "my"), ("nx", "ny")])
 
 

@@ -34,3 +34,11 @@ def test_camera_on_every_frame(spark):
 def test_every_frame_is_looked_up(spark):
     want = sorted((x["person"], f, x["kind"], x["slot"]) for x in film.frame_segments(spark, DATA).collect() for f in range(x["f0"], x["f1"]))
     assert want and sorted(tuple(x) for x in film.frame_lookup(spark, DATA).select("person", "frame", "kind", "slot").collect()) == want
+
+
+def test_film_for_two_reads_each_table_once_a_dot(spark):
+    df = film.joint_camera(spark, DATA)
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    # segments and keyframes come from checkpoints; tracks: fixes and photos, and the photos again for the second dot
+    assert sum(leaves.apply(i).getClass().getSimpleName() == "LogicalRelation" for i in range(leaves.size())) == 3
+    assert df.count() == film.film_camera(spark, DATA).count() > 0
